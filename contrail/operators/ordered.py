@@ -142,7 +142,7 @@ def row_frame_means(
     df: DataFrame,
     keys: list[str],
     time: str,
-    values: dict[str, Column],
+    values: dict[str, str],
     rows: int,
     include_current: bool,
     tie: list[str] | None = None,
@@ -150,41 +150,68 @@ def row_frame_means(
 ) -> DataFrame:
     """Mean of the last ``rows`` rows per key, with or without the current one, plus their count.
 
-    Rows are numbered per key and cut into panes of ``rows`` rows. A frame then
-    always is a tail of the previous pane plus a head of the current one, so
-    each row goes to its own pane and, as context, to the next; both parts are
-    running sums. Adds ``frame_n`` and one mean per entry of ``values``.
+    ``values`` maps output names to SQL expressions. Rows are numbered per key
+    and cut into panes of ``rows`` rows. A frame then always is a tail of the
+    previous pane plus a head of the current one, so each row goes to its own
+    pane and, as context, to the next; both parts are running sums. Adds
+    ``frame_n`` and one mean per entry of ``values``.
     """
     d = row_index(df, keys, time, tie, chunk_seconds, index="_i")
-    for name, value in values.items():
-        d = d.withColumn(f"_x_{name}", value.cast("double"))
-    d = d.withColumn("_pos", F.pmod(F.col("_i") - 1, F.lit(rows)))
-    d = d.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
-    pane = F.floor((F.col("_i") - 1) / rows)
-    d = d.withColumn("_pane", F.when(F.col("_own"), pane).otherwise(pane + 1))
-    by_pane = Window.partitionBy(*keys, "_pane")
-    last = 0 if include_current else -1
-    head = by_pane.orderBy("_pos").rangeBetween(Window.unboundedPreceding, last)
+    d = d.selectExpr(
+        *df.columns,
+        "_i",
+        *[f"double({value}) AS _x_{name}" for name, value in values.items()],
+        f"pmod(_i - 1, {rows}) AS _pos",
+        "explode(array(true, false)) AS _own",
+    )
+    d = d.selectExpr("*", f"(_i - 1) div {rows} + if(_own, 0, 1) AS _pane")
+    by_pane = "PARTITION BY " + ", ".join([*keys, "_pane"])
+    upto = "CURRENT ROW" if include_current else "1 PRECEDING"
     # context rows still inside the frame: later in their pane than the current row is in its
     # own, or equally late when the current row itself is left out
-    tail = by_pane.orderBy(F.col("_pos").desc()).rangeBetween(
-        Window.unboundedPreceding, -1 if include_current else 0
-    )
+    after = "1 PRECEDING" if include_current else "CURRENT ROW"
+    head = f"({by_pane} ORDER BY _pos RANGE BETWEEN UNBOUNDED PRECEDING AND {upto})"
+    tail = f"({by_pane} ORDER BY _pos DESC RANGE BETWEEN UNBOUNDED PRECEDING AND {after})"
+
+    def both(function: str, value: str) -> str:
+        return (
+            f"coalesce({function}(if(_own, {value}, null)) OVER {head}, 0)"
+            f" + coalesce({function}(if(_own, null, {value})) OVER {tail}, 0)"
+        )
+
+    d = d.selectExpr(
+        *df.columns,
+        "_own",
+        f"{both('count', '1')} AS frame_n",
+        *[f"{both('sum', f'_x_{name}')} AS _s_{name}" for name in values],
+    ).filter("_own")
+    kept = [c for c in df.columns if c not in values]
+    means = [f"if(frame_n > 0, _s_{name} / frame_n, null) AS {name}" for name in values]
+    return d.selectExpr(*kept, "frame_n", *means)
 
-    def part(expr: Column, window) -> Column:
-        return F.coalesce(expr.over(window), F.lit(0))
 
-    own, context = F.col("_own"), ~F.col("_own")
-    out = d.withColumn(
-        "frame_n",
-        part(F.count(F.when(own, 1)), head) + part(F.count(F.when(context, 1)), tail),
+def exact_quantiles(df: DataFrame, column: str, quantiles: dict[str, float]) -> DataFrame:
+    """One row of linearly interpolated quantiles, from value counts and running totals.
+
+    Unlike an aggregate that keeps every value, no task holds the whole column.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(
+        F.count("*").alias("_n")
     )
-    sums = {}
-    for name in values:
-        x = F.col(f"_x_{name}")
-        sums[name] = part(F.sum(F.when(own, x)), head) + part(F.sum(F.when(context, x)), tail)
-    out = out.select("*", *[s.alias(f"_s_{name}") for name, s in sums.items()]).filter("_own")
-    kept = [c for c in df.columns if c not in values]
-    return out.select(
-        *kept, "frame_n", *[F.when(F.col("frame_n") > 0, F.col(f"_s_{n}") / F.col("frame_n")).alias(n) for n in values]
+    ranked = prefix_sums(counts, "_v", ["_n"])
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    aggs = []
+    for i, q in enumerate(quantiles.values()):
+        place = F.lit(q) * (F.col("_total") - 1)
+        aggs += [
+            F.min(F.when(F.col("cum__n") > F.floor(place), F.col("_v"))).alias(f"_lo{i}"),
+            F.min(F.when(F.col("cum__n") > F.ceil(place), F.col("_v"))).alias(f"_hi{i}"),
+            F.first(place - F.floor(place)).alias(f"_f{i}"),
+        ]
+    d = ranked.withColumn("_total", total).agg(*aggs)
+    return d.select(
+        *[
+            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(name)
+            for i, name in enumerate(quantiles)
+        ]
     )
