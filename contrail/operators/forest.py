@@ -20,10 +20,10 @@ MODEL_FEATURES = (
     "velocity_mean",
     "velocity_std",
     "velocity_max_delta",
-    "altitude_mean",
     "altitude_std",
+    "altitude_range",
     "max_climb_rate",
-    "heading_std",
+    "max_descent_rate",
     "max_turn_rate",
     "max_implied_speed",
     "speed_consistency_error",
