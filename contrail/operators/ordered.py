@@ -18,6 +18,17 @@ def chunk_start(micros: Column, seconds: float) -> Column:
     return micros - F.pmod(micros, F.lit(int(seconds * 1_000_000)))
 
 
+def computed_once(df: DataFrame, kept: list[str], columns: dict[str, str]) -> DataFrame:
+    """``df`` with ``columns`` (name -> SQL) computed once per row by a generator of one row.
+
+    Optimizer rules copy an aliased expression into every filter and column
+    that uses it. For large expressions used many times over this is costly in
+    planning and running; a generator's output is not copied.
+    """
+    body = ", ".join(f"'{name}', {value}" for name, value in columns.items())
+    return df.selectExpr(*kept, f"inline(array(named_struct({body})))")
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Keep the last row per key. Rows are reduced before the shuffle, so hot keys are cheap."""
     others = [c for c in df.columns if c not in keys]

@@ -184,7 +184,9 @@ def evaluate_rules(
             evidence.alias("evidence"),
         )
         fired.append(F.when(F.coalesce(r.column(), F.lit(False)), trigger))
-    return d.withColumn("triggers", F.filter(F.array(*fired), lambda t: t.isNotNull())).drop(*absent)
+    # generated, so that later filters on the triggers do not evaluate the rules again
+    once = F.inline(F.array(F.struct(F.filter(F.array(*fired), lambda t: t.isNotNull()).alias("triggers"))))
+    return d.select(*features.columns, once)
 
 
 def explode_triggers(evaluated: DataFrame) -> DataFrame:

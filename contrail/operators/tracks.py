@@ -171,7 +171,7 @@ def _single(measure: str, stats: tuple[str, ...], value: str, out: str) -> list[
     return [f"{exprs.get(stat, value)} AS {out}{measure}_{stat}" for stat in _needed(stats)]
 
 
-def _feature_exprs(prefix: str, end: str) -> list[str]:
+def _feature_exprs(prefix: str, end: str) -> dict[str, str]:
     """The feature set from statistics named ``<prefix><measure>_<stat>``.
 
     A feature is null when its inputs are missing; rates also need the field
@@ -222,10 +222,7 @@ def _feature_exprs(prefix: str, end: str) -> list[str]:
         "max_jump": (some["positions"], s("dist", "max")),
     }
     assert tuple(table) == FEATURES
-    return [
-        f"{value} AS {name}" if cond == "true" else f"if({cond}, {value}, null) AS {name}"
-        for name, (cond, value) in table.items()
-    ]
+    return {n: value if cond == "true" else f"if({cond}, {value}, null)" for n, (cond, value) in table.items()}
 
 
 def sliding_features(
@@ -328,13 +325,8 @@ def sliding_features(
     d = d.selectExpr(
         *base, "_t", *points, *[e for _, m, stats in pairs for e in _merge(m, stats, "_two_", "_one_", "_all_")]
     )
-    out = d.selectExpr(
-        *base,
-        "timestamp_micros(_all__t_min) AS window_start",
-        "time AS window_end",
-        *_feature_exprs("_all_", "_t"),
-    )
-    return out.filter(F.col("msg_count") >= min_points)
+    kept = [*base, "timestamp_micros(_all__t_min) AS window_start", "time AS window_end"]
+    return ordered.computed_once(d.filter(F.col("_all__t_n") >= min_points), kept, _feature_exprs("_all_", "_t"))
 
 
 def tumbling_features(
@@ -359,14 +351,13 @@ def tumbling_features(
             value = _pair_value(measure, f"_pair_{field}", position_gap)
             aggs += [f"{_AGGREGATES[x]}({value}) AS _all_{measure}_{x}" for x in _needed(stats)]
     d = d.groupBy(*group).agg(*[F.expr(a) for a in aggs])
-    out = d.selectExpr(
+    kept = [
         *keys,
         "timestamp_micros(_pane) AS bucket",
         "timestamp_micros(_all__t_min) AS window_start",
         "timestamp_micros(_end) AS window_end",
-        *_feature_exprs("_all_", "_end"),
-    )
-    return out.filter(F.col("msg_count") >= min_points)
+    ]
+    return ordered.computed_once(d.filter(F.col("_all__t_n") >= min_points), kept, _feature_exprs("_all_", "_end"))
 
 
 def current_features(
