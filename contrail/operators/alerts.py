@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrail.functions import severity as sev
 from contrail.operators import ordered
-from contrail.session import materialize
 
 
 def score(
@@ -103,7 +100,7 @@ def _jumps(t: np.ndarray, cooldown: int) -> np.ndarray:
 def _chunk_exits(pdf: pd.DataFrame, keys: list[str], cooldown: int) -> pd.DataFrame:
     """For every alert that can be kept first in the chunk: the alert kept last.
 
-    Only alerts in the first cooldown of the chunk (or the very first alert)
+    Only alerts in the first cooldown of the chunk, or the first one after it,
     can be first; equal exits of neighbouring entries are merged, so the
     result is a short step function (entry up to ``entry`` -> ``exit``).
     """
@@ -113,7 +110,7 @@ def _chunk_exits(pdf: pd.DataFrame, keys: list[str], cooldown: int) -> pd.DataFr
     for i in range(len(t) - 1, -1, -1):
         if nxt[i] < len(t):
             last[i] = last[nxt[i]]
-    entries = max(1, int(np.searchsorted(t, pdf["_c"].iloc[0] + cooldown, side="left")))
+    entries = min(len(t), int(np.searchsorted(t, pdf["_c"].iloc[0] + cooldown, side="left")) + 1)
     exits = t[last[:entries]]
     keep = np.append(exits[1:] != exits[:-1], True)
     out = pd.DataFrame({"_c": pdf["_c"].iloc[0], "entry": t[:entries][keep], "exit": exits[keep]})
@@ -177,7 +174,7 @@ def cooldown(
     slim = passed.select(*keys, "alert_id", F.unix_micros("time").alias("_t"))
     slim = slim.withColumn("_c", ordered.chunk_start(F.col("_t"), length))
     key_ddl = ", ".join(f"{k} {dict(slim.dtypes)[k]}" for k in keys)
-    times = slim.groupBy(*keys, "_c", "_t").agg()  # ties add nothing to the step function
+    times = slim.select(*keys, "_c", "_t").distinct()  # ties add nothing to the step function
     exits = times.groupBy(*keys, "_c").applyInPandas(
         lambda pdf: _chunk_exits(pdf, keys, wait), f"{key_ddl}, _c long, entry long, exit long"
     )

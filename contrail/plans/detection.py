@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from contrail.operators import alerts, rules, tracks
 from contrail.operators.forest import IsolationForest
+from contrail.session import materialize
 
 
 def detect(
@@ -37,5 +38,10 @@ def detect(
 
 
 def raise_alerts(scored: DataFrame, cooldown_seconds: float = 60, min_severity: str = "low") -> DataFrame:
-    """Alerts of scored rows, after cooldown."""
-    return alerts.cooldown(alerts.make_alerts(scored), cooldown_seconds, min_severity)
+    """Alerts of scored rows, after cooldown.
+
+    Cooldown reads its input more than once, so the raised alerts, few next to
+    the messages, are written to the shared folder first and computed only once.
+    """
+    raised = materialize(scored.sparkSession, alerts.make_alerts(scored), "raised-alerts")
+    return alerts.cooldown(raised, cooldown_seconds, min_severity)
