@@ -86,10 +86,11 @@ def callsigns(normalized: Column, upper: Column) -> Column:
         _all(normalized, "n_number", 0), lambda m: F.regexp_replace(compact(m), "^NOVEMBER", "N")
     )
     # airline names are read before normalisation, which would turn DELTA into D
-    named = []
-    for name, code in AIRLINES.items():
+    def flight(name: str, code: str) -> Column:
         numbers = F.regexp_extract_all(upper, F.lit(rf"\b{name}\s*(\d{{1,4}}[A-Z]?)\b"), F.lit(1))
-        named.append(F.transform(numbers, lambda n, code=code: F.concat(F.lit(code), n)))
+        return F.transform(numbers, lambda n: F.concat(F.lit(code), n))
+
+    named = [flight(name, code) for name, code in AIRLINES.items()]
     any_name = r"\b(?:" + "|".join(AIRLINES) + r")\s*\d"
     by_name = F.when(upper.rlike(any_name), F.concat(*named)).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(codes, tails, by_name))

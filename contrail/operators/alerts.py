@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -91,61 +93,77 @@ def alerts_per_trigger(evaluated: DataFrame, minimum: str = "medium") -> DataFra
 # --- cooldown ------------------------------------------------------------------
 
 
-def _jumps(t: np.ndarray, cooldown: int) -> np.ndarray:
-    """Index of the first time at least ``cooldown`` (and one row) later; len(t) if none."""
-    nxt = np.searchsorted(t, t + cooldown, side="left")
-    return np.maximum(nxt, np.arange(1, len(t) + 1))
-
+def _runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Arrow batches of rows sorted by ``by``, regrouped so that no group is cut.
 
-def _chunk_exits(pdf: pd.DataFrame, keys: list[str], cooldown: int) -> pd.DataFrame:
+    Yields (rows, first row of each group). Only the rows of a group that may
+    go on in the next batch are held back.
+    """
+    held: list[pd.DataFrame] = []
+
+    def firsts(pdf: pd.DataFrame) -> np.ndarray:
+        change = np.zeros(len(pdf), dtype=bool)
+        change[0] = True
+        for column in by:
+            values = pdf[column].to_numpy()
+            change[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(change)
+
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        starts = firsts(pdf)
+        same = bool(held) and all(held[-1][c].iloc[-1] == pdf[c].iloc[0] for c in by)
+        if len(starts) == 1 and (same or not held):
+            held.append(pdf)
+            continue
+        whole = pd.concat([*held, pdf.iloc[: starts[-1]]], ignore_index=True)
+        if len(whole):
+            yield whole, firsts(whole)
+        held = [pdf.iloc[starts[-1] :]]
+    if held:
+        whole = pd.concat(held, ignore_index=True)
+        yield whole, firsts(whole)
+
+
+def _chunk_exits(t: np.ndarray, chunk: int, wait: int) -> tuple[np.ndarray, np.ndarray]:
     """For every alert that can be kept first in the chunk: the alert kept last.
 
     Only alerts in the first cooldown of the chunk, or the first one after it,
     can be first; equal exits of neighbouring entries are merged, so the
     result is a short step function (entry up to ``entry`` -> ``exit``).
     """
-    t = np.sort(pdf["_t"].to_numpy(np.int64))
-    nxt = _jumps(t, cooldown)
+    following = np.searchsorted(t, t + wait, side="left")
     last = np.arange(len(t))
     for i in range(len(t) - 1, -1, -1):
-        if nxt[i] < len(t):
-            last[i] = last[nxt[i]]
-    entries = min(len(t), int(np.searchsorted(t, pdf["_c"].iloc[0] + cooldown, side="left")) + 1)
+        if following[i] < len(t):
+            last[i] = last[following[i]]
+    entries = min(len(t), int(np.searchsorted(t, chunk + wait, side="left")) + 1)
     exits = t[last[:entries]]
     keep = np.append(exits[1:] != exits[:-1], True)
-    out = pd.DataFrame({"_c": pdf["_c"].iloc[0], "entry": t[:entries][keep], "exit": exits[keep]})
-    for key in keys:
-        out[key] = pdf[key].iloc[0]
-    return out[[*keys, "_c", "entry", "exit"]]
-
-
-def _walk_chunks(pdf: pd.DataFrame, keys: list[str], cooldown: int) -> pd.DataFrame:
-    """Last kept alert before each chunk of one key, walking its step functions in time order."""
-    pdf = pdf.sort_values(["_c", "entry"])
-    rows, last = [], None
-    for chunk, steps in pdf.groupby("_c", sort=True):
-        rows.append((chunk, last))
-        entry, leave = steps["entry"].to_numpy(np.int64), steps["exit"].to_numpy(np.int64)
-        i = 0 if last is None else int(np.searchsorted(entry, last + cooldown, side="left"))
-        if i < len(entry):
+    return t[:entries][keep], exits[keep]
+
+
+def _walk(chunk: np.ndarray, entry: np.ndarray, leave: np.ndarray, wait: int) -> tuple[np.ndarray, np.ndarray]:
+    """Last kept alert before each chunk of one key (-1 for none), by chaining its step functions."""
+    chunks, first = np.unique(chunk, return_index=True)
+    before = np.full(len(chunks), -1, dtype=np.int64)
+    last = -1
+    for k, (lo, hi) in enumerate(zip(first, [*first[1:], len(chunk)], strict=True)):
+        before[k] = last
+        i = lo if last < 0 else lo + int(np.searchsorted(entry[lo:hi], last + wait, side="left"))
+        if i < hi:
             last = int(leave[i])
-    out = pd.DataFrame(rows, columns=["_c", "last"]).astype({"_c": "int64", "last": "Int64"})
-    for key in keys:
-        out[key] = pdf[key].iloc[0]
-    return out[[*keys, "_c", "last"]]
-
-
-def _kept_in_chunk(pdf: pd.DataFrame, keys: list[str], cooldown: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["_t", "alert_id"], kind="stable").reset_index(drop=True)
-    t = pdf["_t"].to_numpy(np.int64)
-    nxt = _jumps(t, cooldown)
-    last = pdf["last"].iloc[0]
-    i = 0 if pd.isna(last) else int(np.searchsorted(t, int(last) + cooldown, side="left"))
+    return chunks, before
+
+
+def _kept(t: np.ndarray, last: int, wait: int) -> list[int]:
+    i = 0 if last < 0 else int(np.searchsorted(t, last + wait, side="left"))
     kept = []
     while i < len(t):
         kept.append(i)
-        i = int(nxt[i])
-    return pdf.loc[kept, [*keys, "alert_id"]]
+        i = int(np.searchsorted(t, t[i] + wait, side="left"))
+    return kept
 
 
 def cooldown(
@@ -163,7 +181,8 @@ def cooldown(
     The rule is sequential, so a key's alerts are cut into time chunks. Each
     chunk is first reduced to a step function (first kept -> last kept), these
     short functions are chained per key, and every chunk then replays on its
-    own from the right start. No task holds more than one chunk of one key.
+    own from the right start. No task holds more than one chunk of one key at
+    a time. Groups are told apart inside sorted Arrow batches, as most are tiny.
     """
     keys = keys or ["icao24", "alert_type"]
     wait = int(seconds * 1_000_000)
@@ -173,20 +192,53 @@ def cooldown(
         return passed
     slim = passed.select(*keys, "alert_id", F.unix_micros("time").alias("_t"))
     slim = slim.withColumn("_c", ordered.chunk_start(F.col("_t"), length))
-    key_ddl = ", ".join(f"{k} {dict(slim.dtypes)[k]}" for k in keys)
-    times = slim.select(*keys, "_c", "_t").distinct()  # ties add nothing to the step function
-    exits = times.groupBy(*keys, "_c").applyInPandas(
-        lambda pdf: _chunk_exits(pdf, keys, wait), f"{key_ddl}, _c long, entry long, exit long"
-    )
-    starts = exits.groupBy(*keys).applyInPandas(
-        lambda pdf: _walk_chunks(pdf, keys, wait), f"{key_ddl}, _c long, last long"
+    kinds = dict(slim.dtypes)
+    key_ddl = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    group = [*keys, "_c"]
+
+    def table(pdf: pd.DataFrame, starts: np.ndarray, counts: list[int], **columns: np.ndarray) -> pd.DataFrame:
+        rows = np.repeat(starts, counts)
+        return pd.DataFrame({**{k: pdf[k].to_numpy()[rows] for k in keys}, **columns})
+
+    def to_exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _runs(batches, group):
+            t, c = pdf["_t"].to_numpy(), pdf["_c"].to_numpy()
+            ends = [*starts[1:], len(t)]
+            parts = [_chunk_exits(t[lo:hi], c[lo], wait) for lo, hi in zip(starts, ends, strict=True)]
+            counts = [len(entry) for entry, _ in parts]
+            yield table(
+                pdf, starts, counts, _c=np.repeat(c[starts], counts),
+                entry=np.concatenate([e for e, _ in parts]), exit=np.concatenate([x for _, x in parts]),
+            )
+
+    def to_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _runs(batches, keys):
+            c, entry, leave = (pdf[x].to_numpy() for x in ("_c", "entry", "exit"))
+            ends = [*starts[1:], len(c)]
+            parts = [_walk(c[a:b], entry[a:b], leave[a:b], wait) for a, b in zip(starts, ends, strict=True)]
+            yield table(
+                pdf, starts, [len(chunks) for chunks, _ in parts],
+                _c=np.concatenate([x for x, _ in parts]), last=np.concatenate([x for _, x in parts]),
+            )
+
+    def to_kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _runs(batches, group):
+            t, last = pdf["_t"].to_numpy(), pdf["last"].to_numpy()
+            ends = [*starts[1:], len(t)]
+            rows = [lo + i for lo, hi in zip(starts, ends, strict=True) for i in _kept(t[lo:hi], last[lo], wait)]
+            yield pdf.loc[rows, ["alert_id"]]
+
+    def gathered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+        return df.repartition(*by).sortWithinPartitions(*by, *order)
+
+    exits = gathered(slim.drop("alert_id"), group, ["_t"]).mapInPandas(
+        to_exits, f"{key_ddl}, _c long, entry long, exit long"
     )
-    kept = (
-        slim.join(starts, [*keys, "_c"])
-        .groupBy(*keys, "_c")
-        .applyInPandas(lambda pdf: _kept_in_chunk(pdf, keys, wait), f"{key_ddl}, alert_id string")
+    starts = gathered(exits, keys, ["_c", "entry"]).mapInPandas(to_starts, f"{key_ddl}, _c long, last long")
+    kept = gathered(slim.join(starts, group), group, ["_t", "alert_id"]).mapInPandas(
+        to_kept, f"alert_id {kinds['alert_id']}"
     )
-    return passed.join(kept.select("alert_id"), "alert_id", "left_semi")
+    return passed.join(kept, "alert_id", "left_semi")
 
 
 # --- selection and routing -----------------------------------------------------

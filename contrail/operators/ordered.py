@@ -144,7 +144,7 @@ def prefix_sums(df: DataFrame, order: str, columns: list[str], descending: bool
     d = d.withColumn("_before", F.filter(totals, lambda s: s["_b"] < F.col("_b")))
     w = Window.partitionBy("_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     for c in columns:
-        earlier = F.aggregate("_before", F.lit(0).cast("double"), lambda acc, s, c=c: acc + s[c].cast("double"))
+        earlier = F.expr(f"aggregate(_before, 0D, (acc, s) -> acc + double(s.{c}))")
         d = d.withColumn(f"cum_{c}", F.sum(F.col(c).cast("double")).over(w) + earlier)
     return d.drop("_k", "_b", "_before")
 
