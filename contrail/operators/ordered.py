@@ -134,14 +134,16 @@ def prefix_sums(df: DataFrame, order: str, columns: list[str], descending: bool
     d = df.withColumn("_k", key.cast("double"))
     points = [i / buckets for i in range(1, buckets)]
     cuts = d.agg(F.percentile_approx("_k", points, 10000)).scalar()
-    d = d.withColumn("_b", F.size(F.filter(cuts, lambda cut: cut < F.col("_k"))))
+    d = d.withColumn("_cuts", cuts)
+    d = d.withColumn("_b", F.size(F.filter("_cuts", lambda cut: cut < F.col("_k")))).drop("_cuts")
     totals = (
         d.groupBy("_b")
         .agg(*[F.sum(c).alias(c) for c in columns])
         .agg(F.collect_list(F.struct("_b", *columns)))  # one struct per bucket, at most ``buckets``
         .scalar()
     )
-    d = d.withColumn("_before", F.filter(totals, lambda s: s["_b"] < F.col("_b")))
+    d = d.withColumn("_totals", totals)
+    d = d.withColumn("_before", F.filter("_totals", lambda s: s["_b"] < F.col("_b"))).drop("_totals")
     w = Window.partitionBy("_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     for c in columns:
         earlier = F.expr(f"aggregate(_before, 0D, (acc, s) -> acc + double(s.{c}))")
