@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from contrail.functions import severity as sev
 from contrail.functions import summary as s
 from contrail.operators import filters, ordered
+from contrail.schemas import JSON_TIMES
 
 # Mesh text format.
 PREFIX = "!SKY:"
@@ -237,7 +238,7 @@ def unsent(alerts: DataFrame, sent: DataFrame, by: str = "alert_id") -> DataFram
 
 def enqueue(records: DataFrame, table: str, created_at: Column | None = None) -> DataFrame:
     """Outbox rows: each record as JSON under its target table; ids follow content and time."""
-    body = F.to_json(F.struct(*records.columns))
+    body = F.to_json(F.struct(*records.columns), JSON_TIMES)
     when = created_at if created_at is not None else F.current_timestamp()
     return records.select(
         F.xxhash64(F.lit(table), body, when).alias("id"),

@@ -170,10 +170,14 @@ def phy_classifier(spark, sf):
 
 
 def frames(spark, sf):
+    return as_frames(views.table(spark, sf, "events"))
+
+
+def as_frames(events):
     """Events as 100 ms audio frames, 2500 to a channel, level from their value."""
     eid = F.col("event_id")
     level = (F.col("value") / 5000).cast("float")
-    return views.table(spark, sf, "events").select(
+    return events.select(
         F.timestamp_micros(F.lit(1704067200000000) + eid * 100_000).alias("time"),
         F.concat(F.lit("ch"), F.expr("event_id div 2500").cast("string")).alias("sensor_id"),
         F.lit(118.7).alias("frequency_mhz"),

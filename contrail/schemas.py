@@ -17,6 +17,9 @@ ALERT_TYPES = (
     "phy_anomaly",
 )
 
+# JSON keeps microseconds only when told to
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
 MESSAGES = T.StructType(
     [
         T.StructField("time", T.TimestampType()),

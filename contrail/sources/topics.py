@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contrail.schemas import JSON_TIMES
+
 RECORDS = "topic string, value string"
 
 
@@ -25,7 +27,7 @@ def topic(kind: str) -> Column:
 
 def as_records(df: DataFrame, kind: str) -> DataFrame:
     """Rows as (topic, JSON value)."""
-    return df.select(topic(kind).alias("topic"), F.to_json(F.struct(*df.columns)).alias("value"))
+    return df.select(topic(kind).alias("topic"), F.to_json(F.struct(*df.columns), JSON_TIMES).alias("value"))
 
 
 def publish(df: DataFrame, kind: str, path: str, mode: str = "append") -> None:
@@ -66,7 +68,7 @@ def subscribe(
     d = reader.json(path).filter(F.startswith("topic", F.lit(prefix)))
     if schema is None:
         return d
-    return d.select("topic", F.from_json("value", schema).alias("r")).select("topic", "r.*")
+    return d.select("topic", F.from_json("value", schema, JSON_TIMES).alias("r")).select("topic", "r.*")
 
 
 def _now(spark: SparkSession) -> str:
