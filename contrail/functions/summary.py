@@ -28,7 +28,7 @@ def emergency_meaning(squawk: Column) -> Column:
 
 
 def coverage_grade(positioned: Column, total: Column) -> Column:
-    ratio = positioned / total
+    ratio = F.try_divide(positioned, total)
     return (
         F.when(total == 0, "no_data")
         .when(ratio > 0.8, "excellent")

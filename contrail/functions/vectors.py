@@ -22,7 +22,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def mean_square(samples: Column) -> Column:
     total = F.aggregate(samples, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    return total / F.size(samples)
+    return F.try_divide(total, F.size(samples))
 
 
 def energy_db(samples: Column) -> Column:

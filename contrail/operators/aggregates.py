@@ -40,7 +40,7 @@ def _distinct_stats(d: DataFrame, keys: list[str], count: str, distinct: str, me
     return per_aircraft.groupBy(*keys).agg(
         F.sum("n").alias(count),
         F.count("icao24").alias(distinct),
-        (F.sum("s") / F.sum("k")).alias(mean),
+        F.try_divide(F.sum("s"), F.sum("k")).alias(mean),
     )
 
 

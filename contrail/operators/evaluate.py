@@ -43,8 +43,8 @@ def evaluate_detector(
     ).scalar()
     c = curve.withColumn("_t", totals)
     negatives = F.col("_t.n")
-    gap = F.abs(F.col("fp") / negatives - target_far)
-    best = F.min_by(F.struct("threshold", "tp", "fp"), F.struct(gap, -F.col("threshold")))
+    gap = F.abs(F.try_divide(F.col("fp"), negatives) - target_far)
+    best = F.min_by(F.struct("threshold", "tp", "fp"), F.struct(F.coalesce(gap, F.lit(float("inf"))), -F.col("threshold")))
     ops = []
     for i, at in enumerate(OPERATING_POINTS):
         above = F.col("threshold") >= at
@@ -63,7 +63,7 @@ def evaluate_detector(
         *ops,
     )
     p, n = F.col("_p"), F.col("_n")
-    never = F.col("_gap") >= target_far  # distance of the "alarm never" point
+    never = F.coalesce(F.col("_gap") >= target_far, F.lit(True))  # distance of the "alarm never" point
     d = d.select(
         "*",
         F.when(never, F.lit(float("inf"))).otherwise(F.col("_best.threshold")).alias("threshold_at_target_far"),

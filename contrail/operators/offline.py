@@ -52,17 +52,17 @@ def decode_alerts(texts: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
     parts = F.split(F.substring(t, len(PREFIX) + 1, 1 << 20), r"\|")
     d = texts.filter(F.startswith(t, F.lit(PREFIX))).withColumn("_p", parts).filter(F.size("_p") >= 4)
-    place = F.split(F.col("_p")[3], ",")
+    place = F.split(F.get("_p", F.lit(3)), ",")
     scores = F.filter(F.slice("_p", 5, 1 << 20), lambda p: F.startswith(p, F.lit("S")))
     last_score = F.try_element_at(scores, F.lit(-1))
     back = lambda table: {code: name for name, code in table.items()}
     parsed = d.select(
         *texts.columns,
-        _lookup(F.col("_p")[0], back(SEVERITY_CODES), "unknown").alias("severity"),
-        F.col("_p")[1].alias("icao24"),
-        _lookup(F.col("_p")[2], back(TYPE_CODES), "unknown").alias("alert_type"),
-        F.get(place, 0).try_cast("double").alias("latitude"),
-        F.get(place, 1).try_cast("double").alias("longitude"),
+        _lookup(F.get("_p", F.lit(0)), back(SEVERITY_CODES), "unknown").alias("severity"),
+        F.get("_p", F.lit(1)).alias("icao24"),
+        _lookup(F.get("_p", F.lit(2)), back(TYPE_CODES), "unknown").alias("alert_type"),
+        F.get(place, F.lit(0)).try_cast("double").alias("latitude"),
+        F.get(place, F.lit(1)).try_cast("double").alias("longitude"),
         F.substring(last_score, 2, 32).try_cast("double").alias("anomaly_score"),
         F.lit(True).alias("received_via_mesh"),
         (F.size(place) == 2).alias("_two"),

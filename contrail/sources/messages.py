@@ -67,7 +67,7 @@ def normalize_messages(df: DataFrame) -> DataFrame:
         "icao24": F.lower("icao24"),
         "callsign": F.when(F.col("callsign") != "", _trim(F.col("callsign"))) if "callsign" in kinds else None,
         **{c: number(c) for c in ("latitude", "longitude", "heading", "signal_level")},
-        **{c: number(c).cast("int") for c in ("altitude", "velocity", "vert_rate")},
+        **{c: number(c).try_cast("int") for c in ("altitude", "velocity", "vert_rate")},
     }
     changed = {c: e for c, e in rules.items() if c in kinds and e is not None}
     return df.filter(F.col("icao24").isNotNull()).withColumns(changed)
@@ -82,8 +82,8 @@ def parse_state_vectors(snapshots: DataFrame, source: str = "state_vectors") ->
     """
     rows = snapshots.select("time", F.explode("states").alias("_s"))
     d = rows.select("time", F.from_json("_s", T.ArrayType(T.StringType())).alias("v"))
-    d = d.filter((F.size("v") >= 17) & F.col("v")[0].isNotNull() & (F.col("v")[0] != ""))
-    slot = lambda i: F.col("v")[i]
+    d = d.filter((F.size("v") >= 17) & (F.get("v", F.lit(0)) != ""))
+    slot = lambda i: F.get("v", F.lit(i))
     number = lambda i: slot(i).try_cast("double")
     stamp = F.coalesce(F.nullif(number(3), F.lit(0.0)), F.nullif(number(4), F.lit(0.0)), F.col("time").cast("double"))
     return d.select(
@@ -92,10 +92,10 @@ def parse_state_vectors(snapshots: DataFrame, source: str = "state_vectors") ->
         F.when(slot(1) != "", _trim(slot(1))).alias("callsign"),
         number(6).alias("latitude"),
         number(5).alias("longitude"),
-        geo.meters_to_feet(F.coalesce(number(7), number(13))).cast("int").alias("altitude"),
-        geo.mps_to_knots(number(9)).cast("int").alias("velocity"),
+        geo.meters_to_feet(F.coalesce(number(7), number(13))).try_cast("int").alias("altitude"),
+        geo.mps_to_knots(number(9)).try_cast("int").alias("velocity"),
         number(10).alias("heading"),
-        geo.mps_to_fpm(number(11)).cast("int").alias("vert_rate"),
+        geo.mps_to_fpm(number(11)).try_cast("int").alias("vert_rate"),
         slot(14).alias("squawk"),
         slot(8).try_cast("boolean").alias("on_ground"),
         F.lit(None).cast("double").alias("signal_level"),
@@ -107,11 +107,11 @@ def map_states(snapshots: DataFrame) -> DataFrame:
     """The display form of the same arrays: SI units, geometric altitude first, valid positions only."""
     rows = snapshots.select(F.col("time").alias("snapshot"), F.explode("states").alias("_s"))
     d = rows.select("snapshot", F.from_json("_s", T.ArrayType(T.StringType())).alias("v"))
-    number = lambda i: F.get(F.col("v"), i).try_cast("double")
+    number = lambda i: F.get("v", F.lit(i)).try_cast("double")
     return d.select(
         "snapshot",
-        F.get(F.col("v"), 0).alias("icao24"),
-        F.nullif(_trim(F.get(F.col("v"), 1)), F.lit("")).alias("callsign"),
+        F.get("v", F.lit(0)).alias("icao24"),
+        F.nullif(_trim(F.get("v", F.lit(1))), F.lit("")).alias("callsign"),
         number(6).alias("latitude"),
         number(5).alias("longitude"),
         F.coalesce(number(13), number(7)).alias("altitude_m"),

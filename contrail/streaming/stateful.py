@@ -71,8 +71,9 @@ class CooldownProcessor(StatefulProcessor):
                     self.handle.registerTimer(last // 1000 + self.expiry_ms + 1)
             else:
                 self.last.clear()
-        out = {k: [v] * len(kept) for k, v in zip(self.keys, key, strict=True)}
-        yield pd.DataFrame({**out, "payload": kept})
+        if kept:
+            out = {k: [v] * len(kept) for k, v in zip(self.keys, key, strict=True)}
+            yield pd.DataFrame({**out, "payload": kept})
 
     def close(self) -> None:
         pass
