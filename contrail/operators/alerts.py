@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrail.functions import severity as sev
@@ -229,7 +229,10 @@ def cooldown(
             yield pdf.loc[rows, ["alert_id"]]
 
     def gathered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-        return df.repartition(*by).sortWithinPartitions(*by, *order)
+        # A window demands that groups are whole and sorted, and its output is. A bare
+        # repartition would not do: it is dropped next to a join on the same keys, which AQE
+        # may then turn into a broadcast join that reads its input in another partitioning.
+        return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
     exits = gathered(slim.drop("alert_id"), group, ["_t"]).mapInPandas(
         to_exits, f"{key_ddl}, _c long, entry long, exit long"

@@ -25,6 +25,8 @@ def local_session(cpus: int | str = 8, name: str = "contrail", **conf: str) -> S
     settings = {
         **DEFAULTS,
         "spark.sql.shuffle.partitions": str(cpus),
+        # one partition per core already; merging small ones would idle the others
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.sql.files.maxPartitionBytes": "32m",
