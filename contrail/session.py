@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings every job relies on. Partition counts are left to AQE on a cluster.
@@ -32,6 +33,8 @@ def local_session(cpus: int | str = 8, name: str = "contrail", **conf: str) -> S
         "spark.sql.files.maxPartitionBytes": "32m",
         **conf,
     }
+    if not SparkConf().contains("spark.checkpoint.dir"):
+        settings.setdefault("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "contrail-scratch"))
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -40,22 +43,18 @@ def local_session(cpus: int | str = 8, name: str = "contrail", **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all executors can reach.
+    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share; it goes when the application ends.
 
-    Only when the session names no such folder (tests on one machine) is a
-    local temporary folder made and set.
+    A session without that setting gets an error: a local folder of one machine would lose rows on a cluster.
+    ``local_session`` names one for single-machine use.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="contrail-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point ``DataFrame.checkpoint`` at the shared folder if nothing did before."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoint"))
+        raise ValueError("spark.checkpoint.dir is not set; name a folder that the driver and all executors share")
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def materialize(spark: SparkSession, df, purpose: str):
