@@ -103,14 +103,15 @@ def train(rows: list, dim: int, epochs: int, rate: float, seed: int = 7) -> np.n
     return (vectors @ (top[:, 1] - top[:, 0])).astype(np.float32)
 
 
-def fit(labelled: DataFrame, max_rows: int = 6000, dim: int = 8, epochs: int = 4, rate: float = 0.05) -> np.ndarray:
-    """Learn from ``labelled`` (key, text, label). At most ``max_rows`` rows, the smallest key hashes, are used."""
-    usable = labelled.where(F.col("label").isin(0, 1)).select("key", "text", F.col("label").cast("int").alias("label"))
-    picked = (
-        usable.select("key", "label", "text")
-        .withColumn("rank", F.xxhash64("key"))
-        .join(F.broadcast(usable.select(F.xxhash64("key").alias("rank")).orderBy("rank").limit(max_rows)), "rank", "left_semi")
-    )
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, dim: int = 8, epochs: int = 4, rate: float = 0.05) -> np.ndarray:
+    """Learn from ``docs`` (key, text) and ``labels`` (key, label).
+
+    The ``max_rows`` usable labels with the smallest key hashes are picked before any text moves; so few rows are
+    broadcast to the texts.
+    """
+    usable = labels.where(F.col("label").isin(0, 1) & F.col("key").isNotNull()).select("key", F.col("label").cast("int").alias("label"))
+    chosen = usable.orderBy(F.xxhash64("key"), "key", "label").limit(max_rows)
+    picked = docs.select("key", "text").join(F.broadcast(chosen), "key")
     rows = (
         picked.select("label", "text")
         .mapInArrow(counted, "label int, buckets array<int>, counts array<int>")

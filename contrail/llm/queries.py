@@ -15,7 +15,8 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     weights = quality.fit(
-        labels.where(~held_out(F.col("doc_id"), 5)).join(docs, "doc_id").select(F.col("doc_id").alias("key"), "text", "label")
+        docs.withColumnRenamed("doc_id", "key"),
+        labels.where(~held_out(F.col("doc_id"), 5)).withColumnRenamed("doc_id", "key"),
     )
     scored = quality.score(docs, weights)
     return scored.select(
