@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import quality, suffix_tree
+from contrail.llm import packing, quality, suffix_tree
 from contrail.llm.common import held_out, table
 from contrail.llm.registry import register
 
@@ -32,3 +32,8 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = suffix_tree.score(docs, docs.where(~held_out(F.col("doc_id"), 10)))
     return scored.withColumn("held_out", held_out(F.col("doc_id"), 10))
+
+
+@register("op7_packing")
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
