@@ -132,11 +132,11 @@ def knapsack(value: np.ndarray, width: int) -> tuple[float, list[dict[int, int]]
     return float(best[width]), found
 
 
-def _start(lengths: np.ndarray, demand: np.ndarray, width: int) -> tuple[list[dict[int, int]], np.ndarray]:
-    """A first basis: first-fit patterns, each used (in fractions) until one of its lengths is used up; and how often."""
+def _start(lengths: np.ndarray, demand: np.ndarray, width: int) -> tuple[list[dict[int, int]], np.ndarray, list[int]]:
+    """A first basis: first-fit patterns, each used (in fractions) until one of its lengths is used up; how often; that length."""
     left, open_ = demand.copy(), [int(x) for x in lengths]
     at = {int(x): i for i, x in enumerate(lengths)}
-    columns, amount = [], []
+    columns, amount, ended = [], [], []
     while open_:
         room, column = width, {}
         for length in reversed(open_):
@@ -150,9 +150,10 @@ def _start(lengths: np.ndarray, demand: np.ndarray, width: int) -> tuple[list[di
         for x, n in column.items():
             left[at[x]] -= n * times
         open_.remove(done)
+        ended.append(done)
         columns.append(column)
         amount.append(max(times, 0.0))
-    return columns, np.array(amount)
+    return columns, np.array(amount), ended
 
 
 def patterns(histogram: np.ndarray, width: int, gap: float = 0.002, rounds: int = 40) -> list[tuple[Pattern, int]]:
@@ -167,11 +168,17 @@ def patterns(histogram: np.ndarray, width: int, gap: float = 0.002, rounds: int
     if m:
         place = {int(x): i for i, x in enumerate(lengths)}
         demand = left[lengths].astype(float)
-        columns, amount = _start(lengths, demand, width)
+        columns, amount, ended = _start(lengths, demand, width)
         basis = np.zeros((m, m))
         for k, column in enumerate(columns):
             basis[[place[x] for x in column], k] = list(column.values())
-        inverse = np.linalg.inv(basis)
+        # a pattern holds no length that an earlier one used up: with its rows in that order the basis is triangular
+        inverse = np.zeros((m, m))
+        for k, row in enumerate(place[x] for x in ended):
+            inverse[k, row] = 1
+            for j in np.flatnonzero(basis[row, :k]):
+                inverse[k] -= basis[row, j] * inverse[j]
+            inverse[k] /= basis[row, k]
         # a start that floating point cannot invert well (few pieces of each length) is taken as it is
         for _ in range(rounds if np.abs(inverse @ basis - np.eye(m)).max() < 1e-6 else 0):
             price = inverse.sum(0)
