@@ -137,3 +137,29 @@ def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def _sliding(values: np.ndarray, width: int, pick: np.ufunc, pad: int) -> np.ndarray:
+    """pick over values[i : i + width] for every i where that fits, in linear time: running values from block ends."""
+    n = len(values) - width + 1
+    blocks = -(-len(values) // width)
+    full = np.full(blocks * width, pad, values.dtype)
+    full[: len(values)] = values
+    grid = full.reshape(blocks, width)
+    ahead = pick.accumulate(grid, axis=1).ravel()
+    behind = np.ascontiguousarray(pick.accumulate(grid[:, ::-1], axis=1)[:, ::-1]).ravel()
+    return pick(behind[:n], ahead[width - 1 : width - 1 + n])
+
+
+def minima(values: np.ndarray, width: int) -> np.ndarray:
+    """Places that are the smallest of some ``width`` consecutive values, all of them where several are equal."""
+    if len(values) < width:
+        return np.flatnonzero(values == values.min()) if len(values) else np.zeros(0, np.int64)
+    low = _sliding(values, width, np.minimum, MASK)
+    edge = np.zeros(width - 1, np.uint64)
+    return np.flatnonzero(_sliding(np.concatenate([edge, low, edge]), width, np.maximum, 0) == values)
+
+
+def list_column(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
+    """values[bounds[i] : bounds[i + 1]] as the i-th list."""
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import html_blocks, packing, quality, suffix_tree, winnowing
+from contrail.llm import html_blocks, packing, quality, recompression, suffix_tree, winnowing
 from contrail.llm.common import held_out, table
 from contrail.llm.registry import register
 
@@ -48,3 +48,22 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_document_fingerprints")
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_edited(table(spark, sf_dir, "documents"))
+
+
+@register(
+    "op2_substring_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50),
+    win AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM starts),
+    f AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM win JOIN f USING (h) WHERE m < doc_id),
+    g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+        sha256(array_to_string(CASE WHEN gone IS NULL THEN w
+            ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+    FROM d LEFT JOIN g USING (doc_id)
+    """,
+)
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.report(table(spark, sf_dir, "documents"))
