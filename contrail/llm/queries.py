@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import html_blocks, packing, quality, recompression, suffix_tree, winnowing
+from contrail.llm import html_blocks, packing, quality, recompression, suffix_sort, suffix_tree, winnowing
 from contrail.llm.common import held_out, table
 from contrail.llm.registry import register
 
@@ -67,3 +67,8 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.report(table(spark, sf_dir, "documents"))
+
+
+@register("op3_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sort.report(table(spark, sf_dir, "documents"))
