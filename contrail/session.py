@@ -57,12 +57,21 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return path
 
 
+# Spark drops the shuffle files of a statement when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(spark: SparkSession, df, purpose: str):
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts the lineage and survives lost executors, so a result used by several
-    branches is computed once.
+    Cuts the lineage and survives lost executors, so a result used by several branches is computed once. Once the
+    table is written, the shuffle files behind it are of no use and go at once.
     """
     path = shared_dir(spark, purpose)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
