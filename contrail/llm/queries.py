@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import html_blocks, packing, quality, recompression, suffix_sort, suffix_tree, winnowing
+from contrail.llm import html_blocks, jaccard_join, packing, quality, recompression, suffix_sort, suffix_tree, winnowing
 from contrail.llm.common import held_out, table
 from contrail.llm.registry import register
 
@@ -72,3 +72,27 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_suffix_array_dedup")
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sort.report(table(spark, sf_dir, "documents"))
+
+
+@register(
+    "op6_ngram_jaccard_join",
+    r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    at AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0),
+    sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM at),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (s)
+        WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    edges AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+        WHERE 100 * c >= 90 * (p.n + q.n - c)),
+    reach AS (SELECT doc_id AS node, doc_id AS root FROM d
+        UNION SELECT y, root FROM reach JOIN edges ON x = node),
+    least AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id
+    FROM d LEFT JOIN n USING (doc_id) JOIN least ON node = d.doc_id
+    """,
+)
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents")).drop("th")
