@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import html_blocks, jaccard_join, packing, quality, recompression, suffix_sort, suffix_tree, winnowing
+from contrail.llm import decontaminate, html_blocks, jaccard_join, packing, quality, recompression, suffix_sort, suffix_tree, winnowing
 from contrail.llm.common import held_out, table
 from contrail.llm.registry import register
 
@@ -80,8 +80,8 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH RECURSIVE d AS (
         SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
             'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-    at AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0),
-    sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM at),
+    place AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0),
+    sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM place),
     n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
     pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (s)
         WHERE a.doc_id <> b.doc_id GROUP BY ALL),
@@ -96,3 +96,8 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents")).drop("th")
+
+
+@register("op4_benchmark_decontamination")
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
