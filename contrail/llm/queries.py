@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import decontaminate, html_blocks, jaccard_join, packing, quality, recompression, suffix_sort, suffix_tree, winnowing
+from contrail.llm import decontaminate, html_blocks, jaccard_join, licenses, packing, quality, recompression, suffix_sort, suffix_tree, winnowing
 from contrail.llm.common import held_out, table
 from contrail.llm.registry import register
 
@@ -101,3 +101,8 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_benchmark_decontamination")
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op5_license_scan", licenses.oracle())
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
