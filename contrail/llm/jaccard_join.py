@@ -235,7 +235,8 @@ def _links(percent: int):
 
 
 def classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, th (the text's hash), n_shingles, component_id."""
+    """Per row of ``docs`` (doc_id, text): doc_id, th (the text's hash), n_shingles, component_id, root (the
+    component's key; null for empty sets)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
@@ -271,6 +272,6 @@ def classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFrame:
     own = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
     own = own.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = own.join(least, "root").select("cid", "component_id")
-    filled = rows.where("n > 0").join(label, "cid").select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
-    return filled.union(rows.where("n = 0").select("doc_id", "th", "n", "doc_id"))
+    label = own.join(least, "root").select("cid", "component_id", "root")
+    filled = rows.where("n > 0").join(label, "cid").select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id", "root")
+    return filled.union(rows.where("n = 0").select("doc_id", "th", "n", "doc_id", F.lit(None).cast("long")))

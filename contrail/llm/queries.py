@@ -95,7 +95,7 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.classes(table(spark, sf_dir, "documents")).drop("th")
+    return jaccard_join.classes(table(spark, sf_dir, "documents")).drop("th", "root")
 
 
 @register("op4_benchmark_decontamination")
