@@ -37,12 +37,14 @@ from contrail.session import materialize
 GRAM = 96
 GROUP = 64
 NO_ID = -(1 << 63)
+#: Text bytes handled at once: every byte takes some two hundred bytes of hashes and sliding minima meanwhile.
+STRETCH = 1 << 19
 
 
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in stretches(batch):
+            for texts in stretches(batch, size=STRETCH):
                 place = np.arange(len(texts.data))
                 end = np.repeat(texts.offsets[1:], np.diff(texts.offsets))
                 fits = place + GRAM <= end
@@ -65,7 +67,7 @@ def _wide(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in stretches(batch):
+            for texts in stretches(batch, size=STRETCH):
                 row, at, key = _lists(batch, texts, "at", "key")
                 place = texts.offsets[row] + at
                 fits = (at >= reach) & (place + length <= texts.offsets[row + 1])
@@ -85,7 +87,7 @@ def _contexts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in stretches(batch):
+            for texts in stretches(batch, size=STRETCH):
                 row, at, key, size = _lists(batch, texts, "at", "key", "size")
                 place = texts.offsets[row] + at
                 low = np.maximum(place - reach, texts.offsets[row])
@@ -249,7 +251,7 @@ def _children(length: int, width: int):
     what their strings span together (null where a text ends before) and of what they have in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             context = batch.column("context")
             cuts = np.frombuffer(context.buffers()[1], np.int32)[context.offset : context.offset + len(context) + 1].astype(np.int64)
             data = np.frombuffer(context.buffers()[2], np.uint8)[cuts[0] : cuts[-1]] if len(context) else np.zeros(0, np.uint8)

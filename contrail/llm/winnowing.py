@@ -44,7 +44,8 @@ def fingerprint(text: Column, gram: int = 3, window: int = 5) -> Column:
 
     def minima(g: Column) -> Column:
         count = F.when(F.size(g) == 0, 0).otherwise(F.greatest(F.size(g) - window + 1, F.lit(1)))
-        return F.array_distinct(F.transform(_indices(count), lambda i: F.least(*[F.get(g, i + k) for k in range(window)])))
+        # the first twice, as ``least`` wants two
+        return F.array_distinct(F.transform(_indices(count), lambda i: F.least(*[F.get(g, i + k) for k in range(window)], F.get(g, i))))
 
     return let(let(hashes, grams), minima)
 
