@@ -109,6 +109,8 @@ def scan(texts: Texts, items: Items, threshold: float) -> list[tuple[int, int, f
         right = items.gram[item] == gram
         seeds.append(np.stack([owner_of[at[right]], item[right], at[right]], 1))
     seeds = np.concatenate(seeds) if seeds else np.zeros((0, 3), np.int64)
+    if not len(seeds):
+        return []
     seeds = seeds[np.lexsort((seeds[:, 2], seeds[:, 1], seeds[:, 0]))]
     cut = np.flatnonzero(np.r_[True, (seeds[1:, :2] != seeds[:-1, :2]).any(1)][: len(seeds)])
     out = []

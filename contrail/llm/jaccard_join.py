@@ -34,7 +34,7 @@ from contrail.llm.common import SECOND_BASE, WORD_BASE, Prefix, Words, list_colu
 from contrail.llm.components import components
 from contrail.session import materialize
 
-RUN, BLOCK, SHARD = 32, 512, 4096
+RUN, BLOCK, SHARD = 32, 256, 1024
 NO_ID = -(1 << 63)
 
 
