@@ -87,8 +87,24 @@ class Reader:
         inside = (at - low >= self.bounds[of]) & (at + window - high <= self.bounds[of + 1])
         at, of = at[inside], of[inside]
         key = Prefix(self.names, WORD_BASE).of(at - low, at + window - high)
+        self.value = value[at]
         return of, at - self.bounds[of], key
 
+    def chosen(self, of: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """For anchors as ``anchors`` gave them: how far left and right of each the ``span`` places reach whose smallest
+        anchor, the leftmost among equals, it is."""
+        left, right = np.full(len(at), span - 1), np.full(len(at), span - 1)
+        for k in range(1, span):
+            same = (of[k:] == of[:-k]) & (at[k:] - at[:-k] < span)
+            if not same.any():
+                break
+            gap = at[k:] - at[:-k] - 1
+            loses = same & (self.value[:-k] <= self.value[k:])
+            left[k:][loses] = np.minimum(left[k:][loses], gap[loses])
+            loses = same & (self.value[k:] < self.value[:-k])
+            right[:-k][loses] = np.minimum(right[:-k][loses], gap[loses])
+        return left, right
+
 
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +137,10 @@ def _lists(batch: pa.RecordBatch, texts, *names: str) -> tuple[np.ndarray, ...]:
 
 
 def _nodes(window: int, single: bool):
-    """Rows (key, name, doc_id, th, at): of each anchor's widest surroundings, or of each of its windows."""
+    """Rows (key, name, doc_id, th, at): of each anchor's widest surroundings, or of each window whose anchor it is.
+
+    A window holds several anchors at times; its own is the smallest, so every window is one row.
+    """
     low, high = REACH, window - 2 * REACH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +152,14 @@ def _nodes(window: int, single: bool):
                 at = at.astype(np.int64)
                 begin, end = reader.bounds[row], reader.bounds[row + 1]
                 if single:
-                    count = np.full(len(at), high - low + 1)
+                    of, all_at, _ = reader.anchors(window)
+                    before, after = reader.chosen(of, all_at, high - low + 1)
+                    mine = np.searchsorted((of << 40) + all_at, (row << 40) + at)
+                    # windows start at or before ``at - low``, and no other anchor of theirs is smaller
+                    first, last = np.maximum(at - high, at - before[mine] - low), np.minimum(at - low, at + after[mine] - high)
+                    count = np.maximum(last - first + 1, 0)
                     row, key, begin, end = (np.repeat(x, count) for x in (row, key, begin, end))
-                    at = spans(at - high, count)
+                    at = spans(first, count)
                     fits = (at >= 0) & (begin + at + window <= end)
                     row, key, begin, at = row[fits], key[fits], begin[fits], at[fits]
                     name = signed(prefix.of(begin + at, begin + at + window))
