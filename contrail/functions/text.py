@@ -32,7 +32,8 @@ NOT_WAYPOINTS = (
     "NORTH", "SOUTH", "SPEED", "LEVEL", "HEAVY", "LIGHT",
 )
 
-# Patterns of the entities.
+# Patterns of the entities. Word boundaries and word characters are those of any script (``UNICODE``),
+# digits are 0-9.
 PATTERNS = {
     "airline_callsign": r"\b[A-Z]{2,3}\s*\d{1,4}[A-Z]?\b",
     "n_number": r"\b(?:N|NOVEMBER)\s*\d{1,5}[A-Z]{0,2}\b",
@@ -56,8 +57,11 @@ EMERGENCY_WORDS = ("MAYDAY", "PAN PAN", "EMERGENCY", "DECLARING")
 EMERGENCY_CODES = ("7500", "7600", "7700")
 
 
+UNICODE = "(?U)"
+
+
 def _all(text: Column, name: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERNS[name]), F.lit(group))
+    return F.regexp_extract_all(text, F.lit(UNICODE + PATTERNS[name].replace(r"\d", "[0-9]")), F.lit(group))
 
 
 def _ints(values: Column) -> Column:
@@ -68,15 +72,16 @@ def normalize_atc(text: Column) -> Column:
     """Upper case, spelled letters and digits replaced by themselves.
 
     No replacement yields a word of either table, so the order of the
-    replacements does not matter. Text without any such word skips them.
+    replacements does not matter. One walk over the table; only the words whose
+    letters occur in a text at all are looked for as words.
     """
-    upper = F.upper(text)
-    words = {**PHONETIC, **DIGITS}
-    out = upper
-    for word, symbol in words.items():
-        out = F.regexp_replace(out, rf"\b{word}\b", symbol)
-    any_word = r"\b(?:" + "|".join(words) + r")\b"
-    return F.when(upper.rlike(any_word), out).otherwise(upper)
+    table = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(s).alias("symbol")) for w, s in {**PHONETIC, **DIGITS}.items()])
+
+    def put(out: Column, entry: Column) -> Column:
+        pattern = F.concat(F.lit(UNICODE + r"\b"), entry["word"], F.lit(r"\b"))
+        return F.when(F.contains(out, entry["word"]), F.regexp_replace(out, pattern, entry["symbol"])).otherwise(out)
+
+    return F.aggregate(table, F.upper(text), put)
 
 
 def callsigns(normalized: Column, upper: Column) -> Column:
@@ -86,13 +91,13 @@ def callsigns(normalized: Column, upper: Column) -> Column:
         _all(normalized, "n_number", 0), lambda m: F.regexp_replace(compact(m), "^NOVEMBER", "N")
     )
     # airline names are read before normalisation, which would turn DELTA into D
-    def flight(name: str, code: str) -> Column:
-        numbers = F.regexp_extract_all(upper, F.lit(rf"\b{name}\s*(\d{{1,4}}[A-Z]?)\b"), F.lit(1))
-        return F.transform(numbers, lambda n: F.concat(F.lit(code), n))
-
-    named = [flight(name, code) for name, code in AIRLINES.items()]
-    any_name = r"\b(?:" + "|".join(AIRLINES) + r")\s*\d"
-    by_name = F.when(upper.rlike(any_name), F.concat(*named)).otherwise(F.array().cast("array<string>"))
+    name = UNICODE + r"\b(" + "|".join(AIRLINES) + r")\s*([0-9]{1,4}[A-Z]?)\b"
+    code = F.create_map(*[F.lit(x) for pair in AIRLINES.items() for x in pair])
+    by_name = F.zip_with(
+        F.regexp_extract_all(upper, F.lit(name), F.lit(1)),
+        F.regexp_extract_all(upper, F.lit(name), F.lit(2)),
+        lambda airline, number: F.concat(F.element_at(code, airline), number),
+    )
     return F.array_distinct(F.concat(codes, tails, by_name))
 
 
@@ -138,7 +143,7 @@ def instructions(upper: Column) -> Column:
     """Clearances, turns, contacts and commands, in that order, duplicates kept."""
     prefixed = lambda word, found: F.transform(found, lambda v: F.concat(F.lit(f"{word} "), v))
     commands = [
-        F.when(upper.rlike(rf"\b{c}\b"), F.array(F.lit(c))).otherwise(F.array().cast("array<string>")) for c in COMMANDS
+        F.when(upper.rlike(rf"{UNICODE}\b{c}\b"), F.array(F.lit(c))).otherwise(F.array().cast("array<string>")) for c in COMMANDS
     ]
     return F.concat(
         prefixed("CLEARED", _all(upper, "cleared")),

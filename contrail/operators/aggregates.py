@@ -209,9 +209,17 @@ def track_history(
     )
 
 
+def ties(df: DataFrame) -> list[Column]:
+    """What decides between rows of one time: the later arrival, or else the whole row."""
+    named = [c for c in ("ingest_seq", "alert_id", "id") if c in df.columns]
+    if named:
+        return [F.col(c).desc() for c in named]
+    return [F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")])]
+
+
 def newest_per_aircraft(messages: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` messages of every aircraft."""
-    return ordered.newest_per_key(messages, ["icao24"], [F.col("time").desc()], n)
+    return ordered.newest_per_key(messages, ["icao24"], [F.col("time").desc(), *ties(messages)], n)
 
 
 def recent_alerts(

@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from contrail.operators import ordered
 
+
+def scored(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Rows that can be judged: a label and a score that is a number. All metrics leave out the others alike."""
+    return df.filter(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+
+
 OPERATING_POINTS = (0.3, 0.5, 0.7, 0.9)  # fixed values
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row per distinct score, highest first: cumulative true and false positives."""
-    points = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(
+    points = scored(df, label, score).groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
     return ordered.prefix_sums(points, "threshold", ["pos", "neg"], descending=True).select(
@@ -37,6 +43,7 @@ def evaluate_detector(
     on a tie the higher one, "alarm never" (threshold infinity) included. Every
     distinct score is a candidate. ``auc_roc`` is null for a single class.
     """
+    df = scored(df, label, score)
     curve = roc_curve(df, label, score)
     totals = df.agg(
         F.struct(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
@@ -126,7 +133,7 @@ def time_to_detect(detected: DataFrame, column: str) -> DataFrame:
 def confusion(df: DataFrame, threshold: float, label: str = "label", score: str = "score") -> DataFrame:
     """Confusion counts and rates at a fixed threshold."""
     hit, real = F.col(score) >= threshold, F.col(label) == 1
-    d = df.agg(
+    d = scored(df, label, score).agg(
         F.count_if(hit & real).alias("tp"),
         F.count_if(hit & ~real).alias("fp"),
         F.count_if(~hit & real).alias("fn"),

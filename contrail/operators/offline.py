@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,10 +52,10 @@ def encode_alerts(alerts: DataFrame) -> DataFrame:
 def decode_alerts(texts: DataFrame, text: str = "text") -> DataFrame:
     """Alerts from mesh strings; texts that are no alert, or do not parse, are dropped."""
     t = F.col(text)
-    parts = F.split(F.substring(t, len(PREFIX) + 1, 1 << 20), r"\|")
+    parts = F.split(F.substring(t, F.lit(len(PREFIX) + 1), F.length(t)), r"\|")
     d = texts.filter(F.startswith(t, F.lit(PREFIX))).withColumn("_p", parts).filter(F.size("_p") >= 4)
     place = F.split(F.get("_p", F.lit(3)), ",")
-    scores = F.filter(F.slice("_p", 5, 1 << 20), lambda p: F.startswith(p, F.lit("S")))
+    scores = F.filter(F.slice("_p", F.lit(5), F.size("_p")), lambda p: F.startswith(p, F.lit("S")))
     last_score = F.try_element_at(scores, F.lit(-1))
     back = lambda table: {code: name for name, code in table.items()}
     parsed = d.select(
@@ -63,10 +65,10 @@ def decode_alerts(texts: DataFrame, text: str = "text") -> DataFrame:
         _lookup(F.get("_p", F.lit(2)), back(TYPE_CODES), "unknown").alias("alert_type"),
         F.get(place, F.lit(0)).try_cast("double").alias("latitude"),
         F.get(place, F.lit(1)).try_cast("double").alias("longitude"),
-        F.substring(last_score, 2, 32).try_cast("double").alias("anomaly_score"),
+        F.substring(last_score, F.lit(2), F.length(last_score)).try_cast("double").alias("anomaly_score"),
         F.lit(True).alias("received_via_mesh"),
         (F.size(place) == 2).alias("_two"),
-        F.exists(scores, lambda p: F.substring(p, 2, 32).try_cast("double").isNull()).alias("_bad"),
+        F.exists(scores, lambda p: F.substring(p, F.lit(2), F.length(p)).try_cast("double").isNull()).alias("_bad"),
     )
     good = F.col("_two") & F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & ~F.col("_bad")
     return parsed.filter(good).drop("_two", "_bad")
@@ -100,13 +102,12 @@ def airspace_summary(
     alerts: DataFrame,
     window_minutes: float = 30,
     as_of: Column | str | None = None,
-    callsign_limit: int = 20,
+    callsign_limit: int | None = 20,
 ) -> DataFrame:
     """One row describing the last ``window_minutes``.
 
-    Lists are bounded: the first callsigns in alphabetical order and the two
-    oldest emergencies that the compact text can hold. All emergencies are in
-    :func:`emergencies`.
+    ``emergencies`` has every aircraft with an emergency code, once per code, from its first time on; the compact
+    text, and it alone, holds the two oldest. ``callsign_limit`` callsigns in alphabetical order, None for all.
     """
     now = F.current_timestamp() if as_of is None else (F.lit(as_of) if isinstance(as_of, str) else as_of)
     now = now.cast("timestamp")
@@ -127,9 +128,11 @@ def airspace_summary(
         F.max("last").alias("last_message"),
     )
     callsigns = recent.filter(F.col("callsign") != "").select("callsign").distinct()
-    callsigns = callsigns.orderBy("callsign").limit(callsign_limit)
-    first = recent.filter(emergency).orderBy("time", "icao24").limit(2)
-    first = first.agg(F.array_sort(F.collect_list(F.struct("time", "icao24", "squawk"))))
+    if callsign_limit is not None:
+        callsigns = callsigns.orderBy("callsign").limit(callsign_limit)
+    held = lambda d: d.agg(F.array_sort(F.collect_list(F.struct("time", "icao24", "squawk"))))
+    first = held(recent.filter(emergency).orderBy("time", "icao24").limit(2))
+    every = held(recent.filter(emergency).groupBy("icao24", "squawk").agg(F.min("time").alias("time")))
     by_type = raised.groupBy(F.coalesce("alert_type", F.lit("unknown")).alias("alert_type")).agg(
         F.count("*").alias("n"), F.count_if(F.col("severity").isin("critical", "high")).alias("severe")
     )
@@ -141,7 +144,8 @@ def airspace_summary(
     d = totals.select(
         "*",
         callsigns.agg(F.sort_array(F.collect_list("callsign"))).scalar().alias("unique_callsigns"),
-        first.scalar().alias("first_emergencies"),
+        first.scalar().alias("_first"),
+        every.scalar().alias("emergencies"),
         alert_totals.select(F.struct("n", "severe", "types")).scalar().alias("_a"),
     )
     d = d.select(
@@ -150,7 +154,8 @@ def airspace_summary(
         "aircraft_count",
         "unique_callsigns",
         "emergency_count",
-        "first_emergencies",
+        "emergencies",
+        "_first",
         F.col("_a.types").alias("alert_summary"),
         F.col("_a.n").alias("anomaly_count"),
         (F.col("messages") / (window_minutes * 60)).alias("message_rate"),
@@ -163,15 +168,15 @@ def airspace_summary(
     )
     d = d.withColumn("priority_level", s.priority_level(F.col("priority")))
     compact = s.compact_summary(
-        F.col("time"), F.col("aircraft_count"), F.col("priority"), F.col("first_emergencies"), F.col("anomaly_count")
+        F.col("time"), F.col("aircraft_count"), F.col("priority"), F.col("_first"), F.col("anomaly_count")
     )
-    return d.withColumn("compact", compact).withColumn("relay_text", s.relay_summary(F.col("compact")))
+    return d.withColumn("compact", compact).drop("_first").withColumn("relay_text", s.relay_summary(F.col("compact")))
 
 
 # --- relay -----------------------------------------------------------------------
 
 
-def _drain(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
+def _drain(pdf: pd.DataFrame, key: str, until: int | None) -> pd.DataFrame:
     """Which severity class each tick sends, from arrival counts per tick.
 
     Works on counts, so its size depends on the time span and not on the
@@ -182,7 +187,9 @@ def _drain(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
         arrivals.setdefault(int(tick), {})[int(rank)] = int(n)
     waiting, sent, rows = {}, {}, []
     ticks = sorted(arrivals)
-    for tick, following in zip(ticks, [*ticks[1:], ticks[-1] + 1], strict=True):
+    end = until if until is not None else ticks[-1] + sum(pdf["n"])
+    ticks = [t for t in ticks if t <= end]
+    for tick, following in zip(ticks, [*ticks[1:], end + 1], strict=False):
         for rank, n in arrivals[tick].items():
             waiting[rank] = waiting.get(rank, 0) + n
         for now in range(tick, following):
@@ -199,13 +206,15 @@ def _drain(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
     return out[[key, "sent_tick", "rank", "seq"]]
 
 
-def relay_selection(alerts: DataFrame, interval: float = 300, key: str = "sensor_id") -> DataFrame:
-    """Alerts a relay sends, with ``sent_at``.
+def relay_selection(
+    alerts: DataFrame, interval: float = 300, key: str = "sensor_id", as_of: datetime | None = None
+) -> DataFrame:
+    """All alerts of a relay, with ``sent_at``; null for those that still wait at ``as_of``.
 
     Critical alerts go out at once. Of the others the most severe, oldest
-    first, goes out at each tick (multiples of ``interval`` seconds), up to the
-    tick of the relay's last arrival; the rest stay waiting and are not
-    returned. A repeated ``alert_id`` is sent once.
+    first, goes out at each tick (multiples of ``interval`` seconds), up to
+    ``as_of`` (in UTC if it has no zone) or, without it, until none waits.
+    Alerts after ``as_of`` are left out. A repeated ``alert_id`` is sent once.
 
     Within a severity the queue is first-in first-out, so the n-th send of a
     severity is its n-th arrival: ticks are decided on counts per (relay,
@@ -215,15 +224,21 @@ def relay_selection(alerts: DataFrame, interval: float = 300, key: str = "sensor
     rank = sev.severity_ordinal(F.col("severity"))
     first = alerts.groupBy("alert_id").agg(F.min(F.struct("time", key, "severity")).alias("f"))
     first = first.select("alert_id", "f.*")
+    until = None
+    if as_of is not None:
+        when = as_of if as_of.tzinfo else as_of.replace(tzinfo=timezone.utc)
+        micros = (when - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+        first = first.filter(F.unix_micros("time") <= micros)
+        until = micros // width
     now = first.filter(F.col("severity") == "critical").select("alert_id", key, F.col("time").alias("sent_at"))
     queue = first.filter(F.coalesce(F.col("severity") != "critical", F.lit(True))).withColumn("rank", rank)
     tick = F.ceil(F.unix_micros("time") / width)
     counts = queue.groupBy(key, "rank", tick.alias("tick")).agg(F.count("*").alias("n"))
     sends = counts.groupBy(key).applyInPandas(
-        lambda pdf: _drain(pdf, key), f"{key} {dict(alerts.dtypes)[key]}, sent_tick long, rank long, seq long"
+        lambda pdf: _drain(pdf, key, until), f"{key} {dict(alerts.dtypes)[key]}, sent_tick long, rank long, seq long"
     )
     numbered = ordered.row_index(queue, [key, "rank"], "time", ["alert_id"], index="seq")
-    later = numbered.join(sends, [key, "rank", "seq"]).select(
+    later = numbered.join(sends, [key, "rank", "seq"], "left").select(
         "alert_id", key, F.timestamp_micros(F.col("sent_tick") * width).alias("sent_at")
     )
     return now.unionByName(later)

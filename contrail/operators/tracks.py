@@ -49,9 +49,17 @@ FEATURES = (
 )
 
 
-def deduplicate(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """One row per (icao24, time); the later arrival (``order`` columns) wins whole."""
-    return ordered.latest_per_key(df, ["icao24", "time"], order or ["time"])
+def deduplicate(df: DataFrame, order: list[str]) -> DataFrame:
+    """One row per (icao24, time); the later arrival (``order`` columns) wins whole.
+
+    The columns must tell arrivals apart; the key cannot. Of arrivals that tie the one with the greater row hash wins,
+    so the result is the same however the rows are dealt out.
+    """
+    if not set(order) - {"icao24", "time"}:
+        raise ValueError("an arrival column is needed to tell which of two equal messages came later")
+    plain = [c for c, kind in df.dtypes if not kind.startswith("map")]
+    hashed = df.withColumn("_hash", F.xxhash64(*plain))
+    return ordered.latest_per_key(hashed, ["icao24", "time"], [*order, "_hash"]).drop("_hash")
 
 
 def segment_tracks(df: DataFrame, max_gap: float = 60, chunk_seconds: float = 6 * 3600) -> DataFrame:

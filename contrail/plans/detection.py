@@ -19,14 +19,15 @@ def detect(
     forest: IsolationForest | None = None,
     unique: bool = False,
     segment_chunk: float = 6 * 3600,
+    arrival: str = "ingest_seq",
 ) -> DataFrame:
     """Scored feature rows: segments, sliding features, rules, model and ensemble score.
 
-    ``unique`` says the table already holds one row per (icao24, time). With a
+    ``unique`` says the table already holds one row per (icao24, time); else the greatest ``arrival`` wins. With a
     window no longer than the gap, segments cannot cut a window and only name
     the track.
     """
-    rows = messages if unique else tracks.deduplicate(messages)
+    rows = messages if unique else tracks.deduplicate(messages, [arrival])
     named = tracks.segment_tracks(rows, max_gap, segment_chunk)
     if window <= max_gap:
         named = named.drop("segment_start")

@@ -40,7 +40,7 @@ INC = """inc AS (SELECT 'I' || CAST(s_suppkey AS VARCHAR) AS incident_id, 170406
 def bundle(spark, sf):
     transcripts = messages(spark, sf).select(
         "time", "sensor_id", F.col("ingest_seq").cast("string").alias("transcript_id")
-    ).filter(F.col("sensor_id") == "s1")
+    )
     return incidents.gather_incident(
         incident_table(spark, sf), alerts(spark, sf), messages(spark, sf), phy_scores(spark, sf), transcripts, 86400
     )
@@ -63,7 +63,7 @@ def incident_tracks(spark, sf):
 
 @register(
     "incident_transcripts",
-    f"""{M}, {INC}, v AS (SELECT * FROM messages WHERE sensor_id = 's1')
+    f"""{M}, {INC}, v AS (SELECT * FROM messages)
     SELECT incident_id, CAST(ingest_seq AS VARCHAR) AS transcript_id FROM {in_incident('v', False)}""",
 )
 def incident_transcripts(spark, sf):
@@ -81,7 +81,7 @@ def incident_report_rows(spark, sf):
 
 @register(
     "incident_metadata",
-    f"""{MA}, {INC}, v AS (SELECT * FROM messages WHERE sensor_id = 's1'),
+    f"""{MA}, {INC}, v AS (SELECT * FROM messages),
     ac AS (SELECT incident_id, count(*) AS n FROM {in_incident('alerts')} GROUP BY 1),
     tc AS (SELECT incident_id, count(*) AS n FROM {in_incident('messages')} GROUP BY 1),
     vc AS (SELECT incident_id, count(*) AS n FROM {in_incident('v', False)} GROUP BY 1)
@@ -182,7 +182,9 @@ e AS (SELECT * FROM m WHERE squawk IN ('7500', '7600', '7700') ORDER BY t, icao2
     {R(f"(epoch_us(TIMESTAMP '{AS_OF}') - (SELECT max(t) FROM m)) / 1e6", 3)} AS last_message_age_sec,
     'T:0000|A:' || (SELECT count(DISTINCT icao24) FROM m) || '|P:' || CASE WHEN (SELECT count(*) FROM e) > 0 THEN 'C' ELSE 'H' END ||
     coalesce((SELECT string_agg('|E:' || squawk || '/' || substr(icao24, 1, 4), '' ORDER BY t, icao24) FROM e), '') ||
-    '|X:' || (SELECT count(*) FROM a) AS compact""",
+    '|X:' || (SELECT count(*) FROM a) AS compact,
+    coalesce((SELECT string_agg(t || '/' || icao24 || '/' || squawk, ';' ORDER BY t, icao24, squawk) FROM (SELECT icao24, squawk,
+      min(t) AS t FROM m WHERE squawk IN ('7500', '7600', '7700') GROUP BY ALL)), '') AS emergencies""",
 )
 def airspace_summary(spark, sf):
     d = offline.airspace_summary(messages(spark, sf), alerts(spark, sf), 3 * 1440, AS_OF)
@@ -190,6 +192,9 @@ def airspace_summary(spark, sf):
         "aircraft_count", F.array_join("unique_callsigns", ",").alias("callsigns"), "emergency_count", "anomaly_count",
         r("message_rate", 8).alias("message_rate"), "coverage_estimate", "priority", "priority_level", "receiver_active",
         r("last_message_age_sec", 3).alias("last_message_age_sec"), "compact",
+        F.array_join(
+            F.transform("emergencies", lambda e: F.concat_ws("/", F.unix_micros(e["time"]).cast("string"), e["icao24"], e["squawk"])), ";"
+        ).alias("emergencies"),
     )
 
 

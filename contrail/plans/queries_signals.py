@@ -160,10 +160,11 @@ def phy_decisions(spark, sf):
 
 @register("phy_classifier")
 def phy_classifier(spark, sf):
-    """Trained on the vectors (odd label = spoofed), judged on the same; training is not SQL."""
+    """Trained on the vectors of four fifths of the rows (odd label = spoofed), judged on the rest; training is not SQL."""
     d = history(spark, sf).withColumn("label", F.col("icao24").cast("int") % 2)
-    model = phy.train_classifier(d, dim=64, hidden=(16,), max_iter=30)
-    return evaluate.classifier_metrics(phy.classify(model, d))
+    held = F.pmod(F.xxhash64(F.to_json(F.struct("icao24", "time"))), F.lit(5)) == 0
+    model = phy.train_classifier(d.filter(~held), dim=64, hidden=(16,), max_iter=30)
+    return evaluate.classifier_metrics(phy.classify(model, d.filter(held)))
 
 
 # --- voice -----------------------------------------------------------------------------

@@ -20,9 +20,9 @@ NOW = {"availableNow": True}
 
 
 def stream(spark, sf, name: str = "events"):
-    """A given table as a file stream."""
+    """A given table, one file or a folder of files, as a file stream."""
     schema = views.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet")
 
 
 def messages(spark, sf):
@@ -105,7 +105,7 @@ def stream_track_state(spark, sf):
     path = shared_dir(spark, "stream-state")
     job = jobs.UpsertJob(path, ["icao24"], ["time"])
     jobs.run_job(messages(spark, sf), job, f"{path}/checkpoint", **NOW).awaitTermination()
-    return job.read(spark, 0).select("icao24", us("time").alias("time"), "altitude", "velocity")
+    return job.read(spark).select("icao24", us("time").alias("time"), "altitude", "velocity")
 
 
 @register(

@@ -31,8 +31,23 @@ def spoken(spark, sf):
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (n % len(PHRASES) + 1).cast("int"))
     for slot, value in parts.items():
         phrase = F.replace(phrase, F.lit(slot), value.cast("string"))
-    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", " ")
-    return views.table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws(" ", phrase, plain).alias("text"))
+    return views.table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.concat_ws(" ", phrase, F.coalesce("text", F.lit(""))).alias("text")
+    )
+
+
+# DuckDB's patterns know ASCII words only. The SQL writes letters of other scripts as ``_``, a word character that no
+# pattern asks for, and other marks as a space; the operators see whole texts, and where a query returns text, its
+# result is written that way as well.
+FOREIGN = r"[ªµºÀ-ÖØ-öø-ʯ\x{370}-\x{373}\x{386}\x{388}-\x{52F}\x{4E00}-\x{9FFF}]"
+
+
+def ascii_words(column):
+    return F.regexp_replace(F.regexp_replace(column, FOREIGN, "_"), r"[^\x00-\x7F]", " ")
+
+
+def ascii_words_sql(column: str) -> str:
+    return f"regexp_replace(regexp_replace(replace({column}, 'ß', 'SS'), '{FOREIGN}', '_', 'g'), '[^\\x00-\\x7F]', ' ', 'g')"
 
 
 def spoken_sql() -> str:
@@ -45,7 +60,7 @@ def spoken_sql() -> str:
     for slot, value in values.items():
         phrase = f"replace({phrase}, '{slot}', CAST({value} AS VARCHAR))"
     return f"""spoken AS (SELECT conv_id, turn, {phrase} || ' ' ||
-      regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', ' ', 'g') AS text
+      {ascii_words_sql("coalesce(text, '')")} AS text
       FROM (SELECT *, conv_id * 7 + turn * 13 AS n FROM conversations))"""
 
 
@@ -136,7 +151,7 @@ INSTRUCTIONS = (
 )
 def entity_instructions(spark, sf):
     d = tx.with_entities(spoken(spark, sf), "text", ["instructions"])
-    return d.select("conv_id", "turn", F.array_join("instructions", ";").alias("instructions"))
+    return d.select("conv_id", "turn", ascii_words(F.array_join("instructions", ";")).alias("instructions"))
 
 
 SPOKEN_EMERGENCY = " OR ".join(f"contains(u, '{w}')" for w in tx.EMERGENCY_WORDS)
@@ -153,26 +168,23 @@ def emergency_communications(spark, sf):
 
 @register(
     "normalized_text",
-    f"""WITH d AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM documents)
+    f"""WITH d AS (SELECT doc_id, {ascii_words_sql('text')} AS text FROM documents)
     SELECT doc_id, md5({normalize_sql('text')}) AS digest FROM d""",
 )
 def normalized_text(spark, sf):
     d = views.table(spark, sf, "documents")
-    plain = F.regexp_replace("text", r"[^\x00-\x7F]", " ")
-    return d.select("doc_id", F.md5(tx.normalize_atc(plain)).alias("digest"))
+    return d.select("doc_id", F.md5(ascii_words(tx.normalize_atc(F.col("text")))).alias("digest"))
 
 
 @register(
     "document_entities",
-    f"""WITH d AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM documents),
+    f"""WITH d AS (SELECT doc_id, {ascii_words_sql('text')} AS text FROM documents),
     norm AS (SELECT doc_id, upper(text) AS u, {normalize_sql('text')} AS n FROM d)
     SELECT doc_id, len(list_distinct({WAYPOINTS})) AS waypoints, len(list_distinct({CALLSIGNS})) AS callsigns,
     len(list_distinct({FREQUENCIES})) AS frequencies, {SPOKEN_EMERGENCY} AS spoken_emergency FROM norm""",
 )
 def document_entities(spark, sf):
-    d = views.table(spark, sf, "documents").select(
-        "doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("text")
-    )
+    d = views.table(spark, sf, "documents").select("doc_id", "text")
     e = tx.with_entities(d, "text", ["waypoints", "callsigns", "frequencies", "is_emergency"])
     size = lambda c: F.size(c).cast("long").alias(c)
     return e.select("doc_id", size("waypoints"), size("callsigns"), size("frequencies"),

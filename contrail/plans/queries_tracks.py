@@ -240,7 +240,7 @@ def message_dedup(spark, sf):
 
 PAIRS = f"""{M}, p AS (SELECT *, lag(t) OVER o AS pt, lag(latitude) OVER o AS plat, lag(longitude) OVER o AS plon,
     lag(heading) OVER o AS ph, lag(velocity) OVER o AS pv, lag(altitude) OVER o AS pa FROM messages
-    WINDOW o AS (PARTITION BY icao24, t // {DAY * 1_000_000} ORDER BY t))"""
+    WINDOW o AS (PARTITION BY icao24 ORDER BY t))"""
 
 
 @register(
@@ -255,11 +255,15 @@ PAIRS = f"""{M}, p AS (SELECT *, lag(t) OVER o AS pt, lag(latitude) OVER o AS pl
 def motion_between_messages(spark, sf):
     from pyspark.sql import Window
 
-    # one aircraft-day per window: bounded however long the history
-    w = Window.partitionBy("icao24", F.expr(f"unix_micros(time) div {DAY * 1_000_000}")).orderBy("time")
+    # one aircraft-day per window, bounded however long the history; a day's first message meets the last one before it
     fields = ("time", "latitude", "longitude", "heading", "velocity", "altitude")
-    d = messages(spark, sf).select("*", *[F.lag(c).over(w).alias(f"p_{c}") for c in fields])
-    d = d.filter(F.col("p_time").isNotNull())
+    d = messages(spark, sf).withColumn("_day", F.expr(f"unix_micros(time) div {DAY * 1_000_000}"))
+    w = Window.partitionBy("icao24", "_day").orderBy("time")
+    ends = d.groupBy("icao24", "_day").agg(F.max_by(F.struct(*fields), "time").alias("_end"))
+    before = ends.select("icao24", "_day", F.lag("_end").over(Window.partitionBy("icao24").orderBy("_day")).alias("_before"))
+    d = d.withColumn("_lag", F.lag(F.struct(*fields)).over(w)).join(before, ["icao24", "_day"])
+    d = d.withColumn("_p", F.coalesce("_lag", "_before")).filter(F.col("_p").isNotNull())
+    d = d.select("*", *[F.col(f"_p.{c}").alias(f"p_{c}") for c in fields])
     dt = geo.positive_seconds(us("time") - us("p_time"))
     dist = geo.haversine_nm(F.col("p_latitude"), F.col("p_longitude"), F.col("latitude"), F.col("longitude"))
     return d.select(

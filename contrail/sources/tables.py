@@ -49,6 +49,7 @@ def read_messages(
     start: str | datetime | None = None,
     end: str | datetime | None = None,
     icao24: str | None = None,
+    partition_hours: int = 1,
 ) -> DataFrame:
     """Messages of an inclusive time range and, optionally, one aircraft.
 
@@ -62,7 +63,9 @@ def read_messages(
         at = F.lit(bound).cast("timestamp")
         day, hour = F.to_date(at), F.hour(at)
         if lower:
-            d = d.filter((F.col("time") >= at) & (F.col("date") >= day))
+            # the bucket that holds the bound may begin up to a day earlier than its hour
+            inside = (F.col("date") > day) | (F.col("hour_bucket") > hour - partition_hours)
+            d = d.filter((F.col("time") >= at) & (F.col("date") >= day) & inside)
         else:
             inside = (F.col("date") < day) | (F.col("hour_bucket") <= hour)
             d = d.filter((F.col("time") <= at) & (F.col("date") <= day) & inside)

@@ -63,16 +63,17 @@ def subscribe(
     reader = spark.readStream.schema(RECORDS)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    if start == "new":
-        reader = reader.option("modifiedAfter", _now(spark))
     d = reader.json(path).filter(F.startswith("topic", F.lit(prefix)))
+    if start == "new":
+        # file streams know no "modifiedAfter"; the file's own time tells what was there before
+        d = d.filter(F.col("_metadata.file_modification_time") > F.lit(_now(spark)).cast("timestamp")).select(*d.columns)
     if schema is None:
         return d
     return d.select("topic", F.from_json("value", schema, JSON_TIMES).alias("r")).select("topic", "r.*")
 
 
 def _now(spark: SparkSession) -> str:
-    row = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).first()
+    row = spark.range(1).select(F.current_timestamp().cast("string")).first()
     return row[0]
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from contrail.operators import alerts as al
 from contrail.operators import offline, ordered, rules, tracks
+from contrail.session import materialize
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -120,7 +121,12 @@ class UpsertJob:
             f"{self.path}/state/batch={batch_id}"
         )
 
-    def read(self, spark: SparkSession, batch_id: int) -> DataFrame:
+    def read(self, spark: SparkSession, batch_id: int | None = None) -> DataFrame:
+        """The state after a batch, the last one by default."""
+        if batch_id is None:
+            where = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/batch=*")
+            found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+            batch_id = max(int(f.getPath().getName().split("=")[1]) for f in found)
         return spark.read.parquet(f"{self.path}/state/batch={batch_id}")
 
 
@@ -130,14 +136,15 @@ def sync_outbox(
     """Send the oldest pending rows and return the log rows of the attempt.
 
     ``send`` writes a table of outbox rows to the remote side. If it fails the
-    whole batch is logged as failed with the error and stays pending.
+    whole batch is logged as failed with the error and stays pending. The batch
+    is written to the shared folder first, so what is logged is what was sent.
     """
-    rows = offline.pending(outbox, sync_log, batch_size)
+    rows = materialize(outbox.sparkSession, offline.pending(outbox, sync_log, batch_size), "outbox-batch")
     try:
         send(rows.select(*outbox.columns))
         ok, error = True, None
     except Exception as problem:  # noqa: BLE001
-        ok, error = False, str(problem)[:500]
+        ok, error = False, str(problem)
     return rows.select(
         "id", F.current_timestamp().alias("attempted_at"), F.lit(ok).alias("ok"), F.lit(error).cast("string").alias("error")
     )

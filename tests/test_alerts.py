@@ -137,16 +137,18 @@ def test_cooldown_limit_and_minimum(spark):
 RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 
 
-def queue(rows, width):
-    """Alerts sent by each relay, from a priority queue ticked to the last arrival."""
-    sent = {}
+def queue(rows, width, until=None):
+    """When each relay sends its alerts, from a priority queue; None for those that wait at the end."""
+    rows = [r for r in rows if until is None or r[3] <= until]
+    sent = {r[0]: None for r in rows}
     for relay in {r[1] for r in rows}:
         mine = sorted((r for r in rows if r[1] == relay and r[2] != "critical"), key=lambda r: (r[3], r[0]))
         sent.update({r[0]: r[3] for r in rows if r[1] == relay and r[2] == "critical"})
         if not mine:
             continue
         heap, i = [], 0
-        for tick in range(-(-mine[0][3] // width), -(-mine[-1][3] // width) + 1):
+        last = until // width if until is not None else -(-mine[-1][3] // width) + len(mine)
+        for tick in range(-(-mine[0][3] // width), last + 1):
             while i < len(mine) and mine[i][3] <= tick * width:
                 heapq.heappush(heap, (-RANK.get(mine[i][2], 0), mine[i][3], mine[i][0]))
                 i += 1
@@ -166,11 +168,13 @@ def test_relay_equals_priority_queue(spark):
         [(a, s, v, T0 + timedelta(seconds=t)) for a, s, v, t in rows],
         "alert_id string, sensor_id string, severity string, time timestamp",
     )
-    got = {
-        r["alert_id"]: round((r["sent_at"].replace(tzinfo=timezone.utc) - T0).total_seconds())
-        for r in offline.relay_selection(d, 300).collect()
-    }
-    assert got == queue(rows, 300)
+    for until in (None, 60_000, 89_999):
+        as_of = None if until is None else T0 + timedelta(seconds=until)
+        got = {
+            r["alert_id"]: r["sent_at"] and round((r["sent_at"].replace(tzinfo=timezone.utc) - T0).total_seconds())
+            for r in offline.relay_selection(d, 300, as_of=as_of).collect()
+        }
+        assert got == queue(rows, 300, until)
 
 
 # --- mesh text -------------------------------------------------------------------

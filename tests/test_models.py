@@ -147,3 +147,11 @@ def test_labelled_dataset(spark):
         assert sorted(r["velocity"] > 1000 for r in track) == [False] * 5 + [True] * 5
     again = augment.labelled_dataset(d.repartition(7), 0.2, seed=7).collect()
     assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_rows_without_score_count_nowhere(spark):
+    rows = [(1, 0.9), (0, None), (1, None), (0, 0.2), (1, float("nan")), (None, 0.5)]
+    d = spark.createDataFrame(rows, "label int, score double")
+    clean = spark.createDataFrame([(1, 0.9), (0, 0.2)], "label int, score double")
+    assert evaluate.evaluate_detector(d).collect() == evaluate.evaluate_detector(clean).collect()
+    assert evaluate.confusion(d, 0.5).collect() == evaluate.confusion(clean, 0.5).collect()

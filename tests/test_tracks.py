@@ -147,6 +147,8 @@ def test_duplicates_keep_the_later_arrival(spark):
     d = frame(spark, [("a", 0, 1.0, 1.0, 1, 1, 1.0, 1, "A"), ("a", 0, None, None, 2, 2, 2.0, 2, None)])
     d = d.withColumn("seq", F.col("altitude"))
     assert [tuple(r) for r in tracks.deduplicate(d, ["seq"]).select("altitude", "callsign").collect()] == [(2, None)]
+    with pytest.raises(ValueError):
+        tracks.deduplicate(d, ["time"])
 
 
 def test_current_features_drop_stale_aircraft(spark):
