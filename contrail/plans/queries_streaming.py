@@ -22,7 +22,11 @@ NOW = {"availableNow": True}
 def stream(spark, sf, name: str = "events"):
     """A given table, one file or a folder of files, as a file stream."""
     schema = views.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet")
+    reader = spark.readStream.schema(schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return reader.parquet(f"{sf}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)  # a file stream reads folders
 
 
 def messages(spark, sf):

@@ -1,5 +1,6 @@
 """Streams in several micro-batches give what the batch operators give."""
 
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -105,3 +106,44 @@ def test_outbox_sync(spark):
 
     failed = jobs.sync_outbox(box, log.unionByName(done), broken, 2).collect()
     assert [(r["id"], r["ok"], r["error"]) for r in failed] == [(3, False, "no link"), (4, False, "no link")]
+
+
+def test_stream_of_a_table_folder(spark, tmp_path):
+    """A table of several files streams whole, and the last batch's state is read."""
+    from contrail.plans import queries_streaming as q
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    one = {r["icao24"]: r for r in q.stream_track_state(spark, "/root/testdata/sf0.001").collect()}
+    many = {r["icao24"]: r for r in q.stream_track_state(spark, str(tmp_path)).collect()}
+    assert {k: v["time"] for k, v in one.items()} == {k: v["time"] for k, v in many.items()}
+
+
+def test_subscribe_to_new_records_only(spark, tmp_path):
+    from contrail.sources import topics
+
+    path = str(tmp_path / "topics")
+    rows = lambda k: spark.createDataFrame([("alerts.x", str(k))], "topic string, value string")
+    rows(1).write.mode("append").json(path)
+    time.sleep(1.2)
+    heard = topics.subscribe(spark, path, "alerts.", start="new")
+    rows(2).write.mode("append").json(path)
+    query = heard.writeStream.format("memory").queryName("heard_new").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [r["value"] for r in spark.table("heard_new").collect()] == ["2"]
+
+
+def test_outbox_logs_what_was_sent(spark):
+    from contrail.streaming import jobs
+
+    outbox = spark.createDataFrame([(k, "t", "{}", datetime(2024, 1, 1, 0, k)) for k in range(5)], "id long, table_name string, record_json string, created_at timestamp")
+    log = spark.createDataFrame([(0, datetime(2024, 1, 2), True, None)], "id long, attempted_at timestamp, ok boolean, error string")
+    sent = []
+    done = jobs.sync_outbox(outbox, log, lambda d: sent.extend(r["id"] for r in d.collect()), 3).collect()
+    assert sorted(sent) == sorted(r["id"] for r in done) == [1, 2, 3] and all(r["ok"] for r in done)
+
+    def fail(d):
+        raise RuntimeError("x" * 900)
+
+    bad = jobs.sync_outbox(outbox, log, fail, 3).collect()
+    assert [r["ok"] for r in bad] == [False] * 3 and len(bad[0]["error"]) == 900
