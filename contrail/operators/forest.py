@@ -140,13 +140,19 @@ def fit(
     """Grow a forest on ``df``; ``ids`` identify a row, so sampling is reproducible.
 
     The rows with the lowest hashes form a pool of at most trees × sample rows;
-    every tree takes its own ``sample`` of them by a second hash. Both steps
-    are limited before their shuffle, whatever the size of ``df``.
+    every tree takes its own ``sample`` of them by a second hash. A bound on
+    the hash, from the number of rows, keeps some four times the pool before
+    any row moves, so no task sorts more than that.
     """
-    if len(df.select(*ids).head(10)) < 10:
+    rows = df.count()
+    if rows < 10:
         raise ValueError("at least 10 rows are needed")
     slim = df.select(*ids, vectors.feature_vector(list(columns)).alias("_v"))
-    pool = slim.withColumn("_h", F.xxhash64(F.lit(seed), *ids)).orderBy("_h", *ids).limit(trees * sample)
+    pool = slim.withColumn("_h", F.xxhash64(F.lit(seed), *ids))
+    share = 4 * trees * sample / rows
+    if share < 1:
+        pool = pool.filter(F.col("_h") <= int(-(2**63) + share * 2**64))
+    pool = pool.orderBy("_h", *ids).limit(trees * sample)
     spread = pool.repartition(trees, "_h")
     copies = spread.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     copies = copies.withColumn("_g", F.xxhash64(F.lit(seed), F.col("tree"), *ids))
@@ -159,7 +165,7 @@ def fit(
         return _grow(int(pdf["tree"].iloc[0]), np.stack(pdf["_v"].to_numpy()), depth, seed)
 
     nodes = drawn.select("tree", "_r", "_v").groupBy("tree").applyInPandas(build, _NODE_DDL).toPandas()
-    size = min(sample, len(slim.select(*ids).head(sample)))
+    size = min(sample, rows)
     forest = IsolationForest(nodes, size, tuple(columns))
     if contamination:
         scored = forest.score(df)

@@ -36,8 +36,12 @@ def _before(spark: SparkSession, path: str, batch_id: int, schema: str | None =
 class FeatureJob:
     """Sliding features of a message stream, final once the watermark has passed a message.
 
-    Layout below ``path``: ``messages/batch=…`` (input kept as context),
-    ``features/batch=…`` (result) and ``progress/batch=…`` (watermark reached).
+    Of messages with the same aircraft and time the later arrival wins, as in batch, until the watermark releases
+    them. What arrives at or below the instant released so far is late: it changes nothing and is counted in
+    ``progress``, so windows released later see the same messages as those before.
+
+    Layout below ``path``: ``messages/batch=…/day=…`` (input kept as context; days that no window can reach any more
+    are deleted), ``features/batch=…`` (result) and ``progress/batch=…`` (instant released, newest time, late rows).
     """
 
     def __init__(self, path: str, window: float = 30, delay: float = 60, min_points: int = 3):
@@ -45,30 +49,50 @@ class FeatureJob:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        progress = _before(spark, f"{self.path}/progress", batch_id, "reached timestamp, seen timestamp, batch int")
+        progress = _before(spark, f"{self.path}/progress", batch_id, f"{self.PROGRESS}, batch int")
         done = progress.agg(F.max("reached"), F.max("seen")).first() if progress is not None else (None, None)
+        late = 0
+        if done[0]:
+            late = batch.filter(F.col("time") <= F.lit(done[0])).count()
+            batch = batch.filter(F.col("time") > F.lit(done[0]))
         stored = batch.withColumn("day", F.to_date("time"))
         stored.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/messages/batch={batch_id}")
         kept = spark.read.parquet(f"{self.path}/messages").filter(F.col("batch") <= batch_id)
         newest = kept.filter(F.col("batch") == batch_id).agg(F.max("time")).first()[0]
         if newest is None:
+            if late:
+                self.note(spark, batch_id, done[0], done[1], late)
             return
         seen = max(newest, done[1]) if done[1] else newest
-        reached = seen - timedelta(seconds=self.delay)
+        reached = max(seen - timedelta(seconds=self.delay), done[0]) if done[0] else seen - timedelta(seconds=self.delay)
         recent = kept.filter(F.col("time") <= F.lit(reached))
         if done[0]:
             # only the days the windows of new results reach back to
             floor = F.lit(done[0] - timedelta(seconds=self.window))
             recent = recent.filter((F.col("time") >= floor) & (F.col("day") >= F.to_date(floor)))
-        # first arrival wins, as a message that comes again after its release cannot change it
-        rows = ordered.latest_per_key(recent.drop("day"), ["icao24", "time"], ["batch"]).drop("batch")
+        arrival = ["batch", *(c for c in ("ingest_seq",) if c in recent.columns)]
+        rows = tracks.deduplicate(recent.drop("day"), arrival).drop("batch")
         features = tracks.sliding_features(rows, self.window, self.min_points)
         if done[0]:
             features = features.filter(F.col("window_end") > F.lit(done[0]))
         self.emit(features, batch_id)
-        spark.createDataFrame([(reached, seen)], "reached timestamp, seen timestamp").coalesce(1).write.mode(
-            "overwrite"
-        ).parquet(f"{self.path}/progress/batch={batch_id}")
+        self.note(spark, batch_id, reached, seen, late)
+        self.expire(spark, reached)
+
+    PROGRESS = "reached timestamp, seen timestamp, late long"
+
+    def note(self, spark: SparkSession, batch_id: int, reached, seen, late: int) -> None:
+        row = spark.createDataFrame([(reached, seen, late)], self.PROGRESS)
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/progress/batch={batch_id}")
+
+    def expire(self, spark: SparkSession, reached) -> None:
+        """Delete stored days before those that the next windows, or a retry of this batch, can reach."""
+        first = (reached - timedelta(seconds=self.window + self.delay, days=2)).date().isoformat()
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/messages/batch=*/day=*")
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in files.globStatus(where) or []:
+            if status.getPath().getName().split("=")[1] < first:
+                files.delete(status.getPath(), True)
 
     def emit(self, features: DataFrame, batch_id: int) -> None:
         features.write.mode("overwrite").parquet(f"{self.path}/features/batch={batch_id}")

@@ -147,3 +147,22 @@ def test_outbox_logs_what_was_sent(spark):
 
     bad = jobs.sync_outbox(outbox, log, fail, 3).collect()
     assert [r["ok"] for r in bad] == [False] * 3 and len(bad[0]["error"]) == 900
+
+
+def test_released_message_comes_again(spark, tmp_path):
+    """Before its release the later arrival wins; after it a copy is late, counted, and changes nothing."""
+    job = jobs.FeatureJob(str(tmp_path / "f"), window=30, delay=60)
+    columns = "time timestamp, icao24 string, latitude double, longitude double, altitude int, velocity int, heading double, vert_rate int, callsign string, ingest_seq long"
+    t0 = datetime(2024, 1, 1)
+    row = lambda s, altitude, seq: (t0 + timedelta(seconds=s), "a", 1.0, 2.0, altitude, 100, 10.0, 0, "c", seq)
+    batches = [
+        [row(s, 100, s) for s in range(0, 40, 5)] + [row(35, 200, 90)],
+        [row(s, 100, s) for s in range(40, 120, 5)],
+        [row(20, 99999, 200), row(55, 300, 201), row(130, 100, 130), row(200, 100, 200)],
+    ]
+    for k, rows in enumerate(batches):
+        job(spark.createDataFrame(rows, columns), k)
+    got = {r["window_end"]: r["altitude_max"] for r in spark.read.parquet(str(tmp_path / "f/features")).collect()}
+    assert max(got.values()) == 200
+    assert all(v == (200 if 35 <= (k - t0).total_seconds() <= 65 else 100) for k, v in got.items())
+    assert spark.read.parquet(str(tmp_path / "f/progress")).agg(F.sum("late")).first()[0] == 2
