@@ -71,7 +71,16 @@ def materialize(spark: SparkSession, df, purpose: str):
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Delete tables that ``materialize`` made, once nothing will read them or what is still to be computed from them."""
+    for table in tables:
+        place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
