@@ -151,11 +151,16 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc, pad: int) -> np.nda
     return pick(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Places that are the smallest of some ``width`` consecutive values, all of them where several are equal."""
+def minima(values: np.ndarray, width: int, counts: np.ndarray) -> np.ndarray:
+    """Places that are the smallest of some ``width`` consecutive values, all of them where several are equal.
+
+    Only stretches from i on with ``counts[i]`` are looked at: those inside one text. What a text's places are thus
+    does not depend on the texts around it. Values are above 0.
+    """
     if len(values) < width:
-        return np.flatnonzero(values == values.min()) if len(values) else np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     low = _sliding(values, width, np.minimum, MASK)
+    low[~counts[: len(low)]] = 0
     edge = np.zeros(width - 1, np.uint64)
     return np.flatnonzero(_sliding(np.concatenate([edge, low, edge]), width, np.maximum, 0) == values)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from contrail.llm.common import SECOND_BASE, WORD_BASE, Prefix, Words, list_column, mixed, signed, spans, stretches
 from contrail.llm.components import components
-from contrail.session import materialize
+from contrail.session import discard, materialize
 
 RUN, BLOCK, SHARD = 32, 256, 1024
 NO_ID = -(1 << 63)
@@ -247,12 +247,14 @@ def classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFrame:
     shared = filed.groupBy("sig").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
     shared = materialize(spark, shared.select("sig", "low"), "shared")
     near = materialize(spark, filed.join(shared, "sig"), "near")
+    discard(shared)
     home = materialize(spark, near.groupBy("cid").agg(F.min("low").alias("home")), "home")
     sizes = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
     # groups met away from home: only through digests that several groups share
     met = near.join(home, "cid").select("sig", "cid", "home")
     mixed_ = met.groupBy("sig").agg((F.min("home") < F.max("home")).alias("several")).where("several").select("sig")
     met = materialize(spark, met.join(mixed_, "sig", "left_semi").distinct(), "met")
+    discard(near)
     away = met.select("sig", "cid").join(met.select("sig", "home").distinct(), "sig").select("cid", "home")
     asked = home.union(away).distinct()
 

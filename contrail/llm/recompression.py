@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrail.llm.common import MASK, SECOND_BASE, WORD_BASE, Prefix, Words, list_column, minima, mixed, signed, spans, stretches
-from contrail.session import materialize
+from contrail.session import discard, materialize
 
 RUN = 3  # longest run of one name that becomes one name
 REACH = 2 * RUN  # words on either side that decide a symbol, and its greatest length
@@ -81,11 +81,12 @@ class Reader:
         value = np.full(len(self.names), MASK, np.uint64)
         value[start] = np.minimum(mixed(name ^ np.uint64(0x5BD1E995)), np.uint64(MASK - 1))
         low, high = REACH, window - 2 * REACH
-        at = minima(value, high - low + 1)
+        value = np.maximum(value, np.uint64(1))
+        place = np.arange(len(value))
+        whole = (place - low >= self.bounds[self.owner]) & (place - low + window <= self.bounds[self.owner + 1])
+        at = minima(value, high - low + 1, whole)
         at = at[value[at] < MASK]
         of = self.owner[at]
-        inside = (at - low >= self.bounds[of]) & (at + window - high <= self.bounds[of + 1])
-        at, of = at[inside], of[inside]
         key = Prefix(self.names, WORD_BASE).of(at - low, at + window - high)
         self.value = value[at]
         return of, at - self.bounds[of], key
@@ -219,7 +220,9 @@ def repeats(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
     rows = "key long, name long, doc_id long, th long, at int"
     wide = materialize(spark, pulled.mapInArrow(_nodes(window, single=False), rows), "wide")
     first = wide.where("name IS NOT NULL").groupBy("key", "name").agg(F.min("doc_id").alias("first"))
-    judged = materialize(spark, wide.join(first, ["key", "name"], "left"), "judged")
+    judged = wide.join(first, ["key", "name"], "left").select("key", "doc_id", "th", "at", "first")
+    judged = materialize(spark, judged, "judged")
+    discard(wide)
     covered = judged.where("first < doc_id").select(
         "doc_id", "th", F.greatest(F.col("at") - (window - 2 * REACH), F.lit(0)).alias("from"), (F.col("at") + window - REACH).alias("to")
     )

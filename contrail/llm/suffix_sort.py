@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from contrail.llm.common import BYTE_BASE, BYTE_VALUES, MASK, SECOND_BASE, Prefix, list_column, minima, powers, signed, spans, stretches
 from contrail.llm.recompression import _lists
-from contrail.session import materialize
+from contrail.session import discard, materialize
 
 GRAM = 96
-GROUP = 64
+GROUP = 200
 NO_ID = -(1 << 63)
 #: Text bytes handled at once: every byte takes some two hundred bytes of hashes and sliding minima meanwhile.
 STRETCH = 1 << 19
@@ -50,7 +50,8 @@ def _anchors(length: int):
                 fits = place + GRAM <= end
                 value = np.full(len(place), MASK, np.uint64)
                 value[fits] = np.minimum(Prefix(BYTE_VALUES[texts.data], BYTE_BASE).of(place[fits], place[fits] + GRAM), np.uint64(MASK - 1))
-                at = minima(value, length - GRAM + 1)
+                value = np.maximum(value, np.uint64(1))
+                at = minima(value, length - GRAM + 1, place + length <= end)
                 at = at[value[at] < MASK]
                 of = np.searchsorted(texts.offsets, at, side="right") - 1
                 bounds = np.searchsorted(of, np.arange(texts.rows + 1))
@@ -291,13 +292,16 @@ def _large(contexts: DataFrame, length: int) -> DataFrame:
         one = F.min(F.struct("id", "th", "at"))
         count = lambda name: asked.where(F.col(name).isNotNull()).groupBy("key", "low", name).agg(F.count("*").alias(f"{name}_n"), one.alias(f"{name}_one"))  # noqa: E731, B023
         judged = asked.join(count("all"), ["key", "low", "all"], "left").join(count("both").drop("both_one"), ["key", "low", "both"], "left")
+        # of repeats found here one goes on, for others that agree with it in part
+        first = (F.struct("id", "th", "at") == F.col("all_one")) & (F.col("both_n") > F.col("all_n"))
+        state = {"done": F.coalesce(F.col("all_n") > 1, F.lit(False)), "open": (F.col("both_n") > 1) & ((F.coalesce("all_n", F.lit(1)) == 1) | F.coalesce(first, F.lit(False)))}
+        judged = judged.withColumns(state).where("done OR open").select("key", "id", "th", "at", "low", "high", "done", "open")
         judged = materialize(spark, judged, "judged")
-        done = cover(judged.where("all_n > 1"))
+        discard(asked)
+        done = cover(judged.where("done"))
         out = done if out is None else out.union(done)
         if width > 1:
-            # of repeats found here one goes on, for others that agree with it in part
-            first = (F.struct("id", "th", "at") == F.col("all_one")) & (F.col("both_n") > F.col("all_n"))
-            open_ = judged.where((F.col("both_n") > 1) & ((F.coalesce("all_n", F.lit(1)) == 1) | first)).select("key", "id", "th", "at", "low", "high")
+            open_ = judged.where("open").select("key", "id", "th", "at", "low", "high")
             nodes = contexts.join(open_, ["key", "id", "th", "at"])
     return out
 
@@ -342,11 +346,14 @@ def repeats(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     wide = pulled.mapInArrow(_wide(length), "key long, id long, th long, at int, name long")
     wide = materialize(spark, wide, "wide")
     same = wide.where("name IS NOT NULL").groupBy("key", "name").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("one"))
-    judged = materialize(spark, wide.join(same, ["key", "name"], "left"), "judged")
-    covered = judged.where("n > 1").select("id", "th", (F.col("at") - reach).cast("long").alias("from"), (F.col("at") + length).cast("long").alias("to"))
-    open_ = judged.where(F.coalesce(F.col("n"), F.lit(1)) < 2).unionByName(
-        judged.where((F.col("n") > 1) & (F.struct("id", "th", "at") == F.col("one")))
-    ).select("key", "id", "th", "at")
+    again = F.coalesce(F.col("n") > 1, F.lit(False))
+    judged = wide.join(same, ["key", "name"], "left").select(
+        "key", "id", "th", "at", again.alias("again"), (~again | (F.struct("id", "th", "at") == F.col("one"))).alias("open")
+    )
+    judged = materialize(spark, judged, "judged")
+    discard(wide)
+    covered = judged.where("again").select("id", "th", (F.col("at") - reach).cast("long").alias("from"), (F.col("at") + length).cast("long").alias("to"))
+    open_ = judged.where("open").select("key", "id", "th", "at")
     sizes = open_.groupBy("key").agg(F.count("*").cast("int").alias("size")).where("size > 1")
     lists = open_.join(sizes, "key").groupBy("id", "th").agg(F.collect_list(F.struct("at", "key", "size")).alias("m"))
     told = pulled.select("id", "th", "text").join(lists, ["id", "th"])
