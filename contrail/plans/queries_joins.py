@@ -324,9 +324,16 @@ def track_lines(spark, sf):
     return d.select("icao24", "part", "points", "callsign", F.array_join(two, " ").alias("coordinates"))
 
 
-@register("alert_points", f"{A} SELECT alert_id, icao24, severity FROM alerts WHERE latitude IS NOT NULL")
+@register(
+    "alert_points",
+    f"""{A} SELECT alert_id, icao24, severity, t AS time, printf('%.4f,%.4f', longitude, latitude) AS place
+    FROM alerts WHERE latitude IS NOT NULL""",
+)
 def alert_points(spark, sf):
-    return exports.alert_points(alerts(spark, sf)).select("alert_id", "icao24", "severity")
+    part = lambda k: F.split("coordinates", ",")[k].cast("double")
+    return exports.alert_points(alerts(spark, sf)).select(
+        "alert_id", "icao24", "severity", us("time").alias("time"), F.format_string("%.4f,%.4f", part(0), part(1)).alias("place")
+    )
 
 
 @register(

@@ -56,11 +56,11 @@ def snapshots(spark, sf):
     """SELECT 'ab' || event_id AS icao24, CASE WHEN event_id % 3 <> 0 THEN 'C1' END AS callsign,
     (CASE WHEN event_id % 4 IN (0, 1) THEN CASE WHEN event_id % 8 = 0 THEN s ELSE s - 2 END ELSE s - 5 END) * 1000000 AS time,
     CAST(trunc(value * 3.28084::DOUBLE) AS INTEGER) AS altitude, CAST(trunc(value * 1.94384::DOUBLE) AS INTEGER) AS velocity, -246 AS vert_rate,
-    90.5::DOUBLE AS heading, '1200' AS squawk, false AS on_ground FROM (SELECT *, epoch_us(ts) // 1000000 AS s FROM events) WHERE event_id % 9 <> 0""",
+    40.5::DOUBLE AS latitude, -73.5::DOUBLE AS longitude, 90.5::DOUBLE AS heading, '1200' AS squawk, false AS on_ground FROM (SELECT *, epoch_us(ts) // 1000000 AS s FROM events) WHERE event_id % 9 <> 0""",
 )
 def state_vectors(spark, sf):
     d = src.parse_state_vectors(snapshots(spark, sf))
-    return d.select("icao24", "callsign", us("time").alias("time"), "altitude", "velocity", "vert_rate", "heading", "squawk", "on_ground")
+    return d.select("icao24", "callsign", us("time").alias("time"), "altitude", "velocity", "vert_rate", "latitude", "longitude", "heading", "squawk", "on_ground")
 
 
 @register(
