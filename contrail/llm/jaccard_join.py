@@ -135,9 +135,8 @@ def _tokens(gram: int):
         for batch in batches:
             for texts in stretches(batch):
                 value, bounds = sets(Words(texts, lower=True), gram)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("cid").slice(texts.first, texts.rows), list_column(bounds, signed(value))], ["cid", "tokens"]
-                )
+                columns = [batch.column(c).slice(texts.first, texts.rows) for c in ("cid", "slots")]
+                yield pa.RecordBatch.from_arrays([*columns, list_column(bounds, signed(value))], ["cid", "slots", "tokens"])
 
     return run
 
@@ -242,12 +241,13 @@ def classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFrame:
     docs = docs.withColumn("th", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.mapInArrow(_file(gram, percent), f"doc_id {kind}, id long, th long, n long, cid long, sig array<long>")
-    rows = materialize(spark, rows, "filed")
-    filed = rows.where("n > 0").select("cid", F.explode("sig").alias("sig"))
+    all_ = materialize(spark, rows, "filed")
+    rows = materialize(spark, all_.drop("sig"), "rows")
+    filed = all_.where("n > 0").select("cid", F.explode("sig").alias("sig"))
     shared = filed.groupBy("sig").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
     shared = materialize(spark, shared.select("sig", "low"), "shared")
     near = materialize(spark, filed.join(shared, "sig"), "near")
-    discard(shared)
+    discard(shared, all_)
     home = materialize(spark, near.groupBy("cid").agg(F.min("low").alias("home")), "home")
     sizes = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
     # groups met away from home: only through digests that several groups share
@@ -258,15 +258,19 @@ def classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFrame:
     away = met.select("sig", "cid").join(met.select("sig", "home").distinct(), "sig").select("cid", "home")
     asked = home.union(away).distinct()
 
-    one = rows.where("n > 0").join(home, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("id", "th")).alias("r"))
-    texts = docs.join(one.select("cid", F.col("r.id").alias("id"), F.col("r.th").alias("th")), ["id", "th"]).select("cid", "text")
-    tokens = texts.mapInArrow(_tokens(gram), "cid long, tokens array<long>").groupBy("cid").agg(F.first("tokens").alias("tokens"))
-    tokens = materialize(spark, tokens, "tokens")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     slot = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n)).cast("int")
     members = home.join(sizes, "home").withColumn("block", slot("blocks", 1)).withColumn("shard", spread("shards")).withColumn("asks", F.lit(0))
     queries = asked.join(sizes, "home").withColumn("block", spread("blocks")).withColumn("shard", slot("shards", 2)).withColumn("asks", F.lit(1))
-    work = members.unionByName(queries).select("home", "block", "shard", "asks", "cid").join(tokens, "cid")
+    # each class's places travel with its text, so its tokens are dealt out in one shuffle
+    slots = members.unionByName(queries).groupBy("cid").agg(F.collect_list(F.struct("home", "block", "shard", "asks")).alias("slots"))
+    one = rows.where("n > 0").join(slots.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("id", "th")).alias("r"))
+    one = materialize(spark, one.join(slots, "cid").select("cid", "slots", F.col("r.id").alias("id"), F.col("r.th").alias("th")), "slots")
+    # repeated rows of one id and text count once; they stand together after the join already
+    texts = docs.join(one, ["id", "th"]).dropDuplicates(["id", "th"]).select("cid", "slots", "text")
+    kinds = "cid long, slots array<struct<home:long,block:int,shard:int,asks:int>>, tokens array<long>"
+    tokens = materialize(spark, texts.mapInArrow(_tokens(gram), kinds), "tokens")
+    work = tokens.select("cid", "tokens", F.explode("slots").alias("s")).select("s.*", "cid", "tokens")
     work = work.repartition("home", "block", "shard").sortWithinPartitions("home", "block", "shard", "asks")
     links = work.mapInArrow(_links(percent), "a long, b long")
     roots = components(materialize(spark, links, "links"))
