@@ -246,22 +246,21 @@ def classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFrame:
     filed = all_.where("n > 0").select("cid", F.explode("sig").alias("sig"))
     shared = filed.groupBy("sig").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
     shared = materialize(spark, shared.select("sig", "low"), "shared")
-    near = materialize(spark, filed.join(shared, "sig"), "near")
+    near = materialize(spark, filed.join(shared, "sig").distinct(), "near")
     discard(shared, all_)
     home = materialize(spark, near.groupBy("cid").agg(F.min("low").alias("home")), "home")
-    sizes = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-    # groups met away from home: only through digests that several groups share
-    met = near.join(home, "cid").select("sig", "cid", "home")
-    mixed_ = met.groupBy("sig").agg((F.min("home") < F.max("home")).alias("several")).where("several").select("sig")
-    met = materialize(spark, met.join(mixed_, "sig", "left_semi").distinct(), "met")
-    discard(near)
-    away = met.select("sig", "cid").join(met.select("sig", "home").distinct(), "sig").select("cid", "home")
-    asked = home.union(away).distinct()
-
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     slot = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n)).cast("int")
-    members = home.join(sizes, "home").withColumn("block", slot("blocks", 1)).withColumn("shard", spread("shards")).withColumn("asks", F.lit(0))
-    queries = asked.join(sizes, "home").withColumn("block", spread("blocks")).withColumn("shard", slot("shards", 2)).withColumn("asks", F.lit(1))
+    blocks = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = home.join(blocks, "home").select("cid", "home", slot("blocks", 1).alias("block"))
+    placed = materialize(spark, placed, "placed")
+    # a class asks the blocks that hold a class it shares a digest with, its own among them
+    places = near.join(placed, "cid").select("sig", "home", "block").distinct()
+    asked = materialize(spark, near.select("sig", "cid").join(places, "sig").select("cid", "home", "block").distinct(), "asked")
+    discard(near)
+    load = asked.groupBy("home", "block").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    members = placed.join(load, ["home", "block"]).withColumn("shard", spread("shards")).withColumn("asks", F.lit(0))
+    queries = asked.join(load, ["home", "block"]).withColumn("shard", slot("shards", 2)).withColumn("asks", F.lit(1))
     # each class's places travel with its text, so its tokens are dealt out in one shuffle
     slots = members.unionByName(queries).groupBy("cid").agg(F.collect_list(F.struct("home", "block", "shard", "asks")).alias("slots"))
     one = rows.where("n > 0").join(slots.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("id", "th")).alias("r"))
