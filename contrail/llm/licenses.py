@@ -6,13 +6,17 @@ become one space; equivalent spellings become one. A text's canonical form is it
 joined by a space. Its SHA-256 is looked up, whole, among the digests of known licenses and notices, by a hash join;
 so is that of each line that is not the whole text.
 
-The known texts are few (``KNOWN``, and what a caller adds up to ``MOST_KNOWN``), so their digests are broadcast and
+Known are the full texts below ``known_licenses`` (``X~2`` is another wording of license X that is in wide use), the
+usual one-line notices and the SPDX identifier line of every license in ``NAMES``. A notice over several lines is known
+as a text of its own only. The known texts are few (``KNOWN``, and what a caller adds up to ``MOST_KNOWN``), so their digests are broadcast and
 documents are not shuffled. Null and empty texts, and lines without a letter or digit, match nothing. Every row of the
 documents gives its own hits, also when rows repeat. Extra columns are not looked at.
 """
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +68,78 @@ KNOWN = {
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
     "BSD-notice": "Licensed under the BSD License.",
 }
+# What notices call a license.
+NAMES = {
+    "0BSD": ("the BSD Zero Clause License",),
+    "AGPL-3.0": ("the GNU Affero General Public License, version 3", "the GNU AGPL v3", "AGPL-3.0"),
+    "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License", "Apache-2.0"),
+    "Artistic-1.0-Perl": ("the Artistic License",),
+    "Artistic-2.0": ("the Artistic License 2.0",),
+    "BSD-2-Clause": ("the BSD 2-Clause License", "the 2-Clause BSD License", "the Simplified BSD License"),
+    "BSD-3-Clause": ("the BSD 3-Clause License", "the 3-Clause BSD License", "the New BSD License"),
+    "BSL-1.0": ("the Boost Software License, Version 1.0", "the Boost Software License"),
+    "BlueOak-1.0.0": ("the Blue Oak Model License 1.0.0",),
+    **{
+        f"CC-BY{code}-{version}": (f"CC BY{code} {version}", f"Creative Commons Attribution{name} {version}", f"a Creative Commons Attribution{name} {version} International License")
+        for version in ("4.0", "3.0")
+        for code, name in (("", ""), ("-SA", "-ShareAlike"), ("-ND", "-NoDerivatives"), ("-NC", "-NonCommercial"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-NC-ND", "-NonCommercial-NoDerivatives"))
+    },
+    "CC0-1.0": ("CC0", "CC0 1.0", "CC0 1.0 Universal"),
+    "EPL-1.0": ("the Eclipse Public License 1.0",),
+    "EPL-2.0": ("the Eclipse Public License 2.0", "the Eclipse Public License v2.0"),
+    "GFDL-1.2": ("the GNU Free Documentation License, version 1.2",),
+    "GFDL-1.3": ("the GNU Free Documentation License, version 1.3",),
+    "GPL-2.0": ("the GNU General Public License, version 2", "the GNU General Public License v2.0", "the GNU GPL v2", "GPL-2.0", "GPLv2"),
+    "GPL-3.0": ("the GNU General Public License, version 3", "the GNU General Public License v3.0", "the GNU GPL v3", "GPL-3.0", "GPLv3"),
+    "ISC": ("the ISC License",),
+    "LGPL-2.1": ("the GNU Lesser General Public License, version 2.1", "the GNU LGPL v2.1", "LGPL-2.1"),
+    "LGPL-3.0": ("the GNU Lesser General Public License, version 3", "the GNU LGPL v3", "LGPL-3.0"),
+    "MIT": ("the MIT License", "MIT"),
+    "MIT-0": ("the MIT No Attribution License",),
+    "MPL-1.1": ("the Mozilla Public License, version 1.1", "the Mozilla Public License 1.1"),
+    "MPL-2.0": ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "MPL-2.0"),
+    "Unicode-3.0": ("the Unicode License v3",),
+    "Unlicense": ("the Unlicense",),
+    "Zlib": ("the zlib License",),
+}
+_SAYINGS = ("Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "This software is licensed under {}.", "This project is licensed under {}.", "Distributed under {}.")
+_OR_LATER = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GFDL-1.2", "GFDL-1.3")
+_HEADERS = {
+    "Apache-2.0-header~2": 'Licensed under the Apache License, Version 2.0 (the "License");',
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with"
+    " this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "MPL-2.0-header~2": "This Source Code Form is subject to the terms of the Mozilla Public",
+    "BSL-1.0-header": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at"
+    " https://www.boost.org/LICENSE_1_0.txt)",
+    **{
+        f"{code}-{version}-or-later-header": f"This {what} is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {name} as published by"
+        f" the Free Software Foundation, either version {version.removesuffix('.0')} of the License, or (at your option) any later version."
+        for code, what, name in (("GPL", "program", "General Public License"), ("LGPL", "library", "Lesser General Public License"), ("AGPL", "program", "Affero General Public License"))
+        for version, colon in (("3.0", ":"), ("2.1" if code == "LGPL" else "2.0", ";"))
+        if (code, version) != ("AGPL", "2.0")
+    },
+}
+
+
+def _fill() -> None:
+    """Full texts, notices, headers and identifiers into ``KNOWN``, none of them twice."""
+    for file in sorted(files(__package__).joinpath("known_licenses").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            KNOWN[file.name.removesuffix(".txt")] = file.read_text(encoding="utf-8")
+    KNOWN.update(_HEADERS)
+    given = {text.lower() for text in KNOWN.values()}
+    for code, names in NAMES.items():
+        texts = [saying.format(name) for name in names for saying in _SAYINGS]
+        texts += [f"SPDX-License-Identifier: {code}{end}" for end in ("", "-only", "-or-later") if not end or code in _OR_LATER]
+        k = 1 + (f"{code}-notice" in KNOWN)
+        for text in texts:
+            if text.lower() not in given:
+                given.add(text.lower())
+                KNOWN[f"{code}-notice~{k}" if k > 1 else f"{code}-notice"] = text
+                k += 1
+
+
+_fill()
 
 _COPYRIGHT = "^[^a-z0-9]*(copyright|\\(c\\)|©|all rights reserved).*$"
 _MARKS = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"

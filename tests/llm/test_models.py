@@ -252,6 +252,24 @@ def test_licenses(spark, nothing):
         licenses.scan(docs, {str(k): "x" for k in range(licenses.MOST_KNOWN + 1)})
 
 
+def test_common_licenses(spark):
+    """What the production table covers: full texts in wide use, notices and identifier lines, each by one digest."""
+    known = spark.createDataFrame(list(licenses.KNOWN.items()), "doc_id string, text string")
+    hits = licenses.scan(known).where("line is null").groupBy("doc_id").agg(F.collect_list("license_id")).collect()
+    assert {r[0]: r[1] for r in hits} == {k: [k] for k in licenses.KNOWN}
+    for name in "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 MPL-2.0 Unlicense CC0-1.0 ISC Zlib BSL-1.0".split():
+        assert len(licenses.KNOWN[name]) > 500
+    rows = [
+        (1, "Copyright 2020 A\n\n" + licenses.KNOWN["GPL-3.0"].replace("\n", " \n  ")),
+        (2, "code\n# SPDX-License-Identifier: AGPL-3.0-or-later\nmore"),
+        (3, "a\nThis project is licensed under the BSD 3-Clause License.\nb"),
+        (4, "a\nThis work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.\nb"),
+        (5, "no license"),
+    ]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r[0], r[1].split("-notice")[0], r[2]) for r in got} == {(1, "GPL-3.0", None), (2, "AGPL-3.0", 2), (3, "BSD-3-Clause", 2), (4, "CC-BY-SA-4.0", 2)}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     import duckdb
