@@ -7,10 +7,13 @@ belongs to the article, in view of all other leaves of the page. The leaves it k
 
 No page is labelled, so the labeller is trained here on pages made from templates: many layouts (with ``article`` or
 only classed ``div`` elements, menus, headers, footers, sidebars, notices, adverts, forms and reader comments before,
-after and inside the article) filled with random words, whose labels are known. Training takes seconds, is seeded and
+after and inside the article, some within one form) filled with random words, whose labels are known. Training takes seconds, is seeded and
 does not look at the tables.
 
-Scripts, styles, templates, comments, ``head`` and form controls are never text, by rule. Character references are
+Scripts, styles, templates, comments, ``head``, drawings, form controls and their labels (``label``, and bare text of a form on
+one line with a control) are never text, by rule; whatever else a form holds is weighed like all leaves, and ``math``
+and the content of ``object`` are read. ``/>`` closes a drawing, a frame, an object, a formula and a control; without a
+closing tag only the tag itself is skipped, but an unclosed script or style lasts to the end. Character references are
 decoded, white space inside a block becomes one space, blocks are trimmed and joined by a blank line. A null or empty
 page, and one without a kept leaf, gives an empty text. Broken markup is read as far as it goes: unclosed elements end
 with what closes around them. Rows are treated one by one, so repeated ids or pages each get their row.
@@ -38,8 +41,11 @@ BLOCK = frozenset(
     " pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title iframe object svg math xmp".split())
-DROPPED = frozenset("head form select button option".split())
+RAW = frozenset("script style template noscript textarea title iframe svg xmp".split())
+CODE = frozenset("script style".split())
+DROPPED = frozenset("head select button option".split())
+CONTROLS = frozenset("input select textarea".split())  # those that have labels
+CLOSABLE = frozenset("svg math iframe object label select button option".split())
 CLOSES_P = BLOCK - {"body", "html", "button", "option", "optgroup", "caption", "legend", "summary"}
 # an opening element ends an open one of the same kind
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -47,6 +53,7 @@ SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 
 _TOKEN = re.compile(r"<(?:([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|/([a-zA-Z][^\s/>]*)[^>]*>|!--.*?(?:-->|\Z)|[!?][^>]*>)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_UNLABELLED = re.compile(r"\btype\s*=\s*[\"']?(?:hidden|submit|button|image|reset)\b", re.I)
 _PART = re.compile(r"[a-z]+")
 
 PATHS, WORDS, SHAPES, HIDDEN = 1 << 10, 1 << 9, 8, 12
@@ -72,22 +79,40 @@ def leaves(page: str) -> list[Leaf]:
     out: list[Leaf] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
-    links = linked = dropped = 0
+    links = linked = dropped = labels = 0
+    line = line_linked = 0  # where the line began in held, and what was linked before it
+    control = False  # whether the line has one
+
+    def end_line() -> None:
+        nonlocal linked, line, line_linked, control
+        if control and next((name for name, _ in reversed(stack) if name in BLOCK), "") == "form":
+            del held[line:]
+            linked = line_linked
+        line, line_linked, control = len(held), linked, False
+
+    def hold(text: str) -> None:
+        nonlocal linked
+        # of a label only what stands in it directly: blocks in one that was left open are not its text
+        if not dropped and not (labels and next(name for name, _ in reversed(stack) if name in BLOCK or name == "label") == "label"):
+            held.append(text)
+            linked += len(text) * (links > 0)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, line, line_linked
+        end_line()
         if held:
             text = "".join(held)
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
                 out.append(Leaf(tuple(p for _, parts in stack for p in parts), text, linked))
             held.clear()
-        linked = 0
+        linked = line = line_linked = 0
 
     def close(k: int) -> None:
-        nonlocal links, dropped
+        nonlocal links, dropped, labels
         for name, _ in stack[k:]:
             links -= name == "a"
+            labels -= name == "label"
             dropped -= name in DROPPED
         del stack[k:]
 
@@ -104,27 +129,32 @@ def leaves(page: str) -> list[Leaf]:
     while at < end:
         match = _TOKEN.search(page, at)
         if match is None:
-            if not dropped:
-                held.append(page[at:])
-                linked += (end - at) * (links > 0)
+            hold(page[at:])
             break
-        if match.start() > at and not dropped:
-            held.append(page[at : match.start()])
-            linked += (match.start() - at) * (links > 0)
+        if match.start() > at:
+            hold(page[at : match.start()])
         at = match.end()
         opened, closed = match.group(1), match.group(3)
         if opened:
             name = opened.lower()
+            shut = match.group(2).rstrip().endswith("/")
+            if name in CONTROLS and not (name == "input" and _UNLABELLED.search(match.group(2))):
+                control = True
+            if name in CLOSABLE and shut:
+                continue
             if name in RAW:
                 lower = lower or page.lower()
                 stop = lower.find("</" + name, at)
                 flush() if name in BLOCK else None
-                if stop < 0:
+                if stop < 0 and name in CODE and not shut:
                     break
+                if stop < 0:
+                    continue
                 stop = page.find(">", stop)
                 at = end if stop < 0 else stop + 1
                 continue
             if name == "br":
+                end_line()
                 held.append(" ") if not dropped else None
                 continue
             if name in BLOCK:
@@ -138,6 +168,7 @@ def leaves(page: str) -> list[Leaf]:
             if name not in VOID:
                 stack.append((name, _labels(name, match.group(2))))
                 links += name == "a"
+                labels += name == "label"
                 dropped += name in DROPPED
         elif closed:
             name = closed.lower()
@@ -413,7 +444,10 @@ def made_pages(count: int, seed: int = 11) -> list[tuple[list[Leaf], list[int]]]
         return pick(f"<section class='{name}'>{body}</section>", f"<div class='{name}'>{body}</div>", f"<div id='{name}'>{body}</div>", f"<section id='{name}'>{body}</section>")
 
     def form() -> str:
-        return f"<form><label>{line(1, 3)}</label><input type='text'><button>{word()}</button></form>"
+        name = pick("", "", f" class='{pick('search', 'login', 'contact', 'newsletter', 'signup', 'filter')}'", f" id='{pick('search', 'login', 'subscribe')}'")
+        field = f"<label>{line(1, 3)}</label><input type='text'>"
+        body = pick("", "", f"<h3>{line(1, 4)}</h3>", f"<p>{line(3, 14, '.')}</p>", f"<p>{prose()}</p>", f"<legend>{line(1, 3)}</legend>", f"<table><tr><td>{line(1, 2)}</td><td><input></td></tr></table>")
+        return f"<form{name}>{body}{field}<button>{word()}</button></form>"
 
     pages = []
     for _ in range(count):
@@ -432,7 +466,11 @@ def made_pages(count: int, seed: int = 11) -> list[tuple[list[Leaf], list[int]]]
         )
         before = [f() for f in (header, menu, notice, advert, sidebar, form) if chance(0.4)]
         after = [f() for f in (comments, sidebar, related, advert, form, notice, share) if chance(0.25)] + ([footer()] if chance(0.8) else [])
-        blocks = leaves(f"<html><head><title>{line(1, 4)}</title></head><body>{''.join(before)}{body}{''.join(after)}</body></html>")
+        content = f"{''.join(before)}{body}{''.join(after)}"
+        if chance(0.1):
+            whole = f"<form{pick('', ' id=aspnetForm', ' id=form1', ' class=page')} method='post'><input type='hidden' name='state'>"
+            content = pick(f"{whole}{content}</form>", f"{whole}<div>{content}</div></form>", f"{whole}{content}", f"{''.join(before)}{whole}{body}</form>{''.join(after)}")
+        blocks = leaves(f"<html><head><title>{line(1, 4)}</title></head><body>{content}</body></html>")
         labels = []
         for block in blocks:
             labels.append(int(mark in block.text))

@@ -230,6 +230,36 @@ def test_blocks():
     assert [b.text for b in html_blocks.leaves(page)] == ["one", "two", "a", "b c", "x", "y"]
 
 
+def test_forms_and_frames(labeller):
+    """An article in a form, after a self-closed element or one never closed, or of formulas is an article."""
+    story = "".join(f"<p>Some words of sentence {k} make it long enough. Others follow it here, and end.</p>" for k in range(4))
+    body = f"<article><h1>A heading</h1>{story}</article>"
+
+    def kept(page):
+        blocks = html_blocks.leaves(page)
+        return [b.text for b, k in zip(blocks, labeller.keeps([blocks])[0], strict=True) if k]
+
+    want = kept(f"<html><body>{body}</body></html>")
+    assert len(want) == 5
+    for start, end in (
+        ("<form id='aspnetForm' method='post'><input type='hidden'>", "</form>"),
+        ("<form>", ""),
+        ("<form action='/s'><label>Find<input></label><select><option>a</select><button/>", ""),
+        ("<svg class='icon'/>", ""),
+        ("<svg viewBox='0 0 1 1' />", "<svg><text>x</text></svg>"),
+        ("<math/>", "<math></math>"),
+        ("<iframe src='/f'/>", "<iframe></iframe>"),
+        ("<object data='/o'/>", ""),
+        ("<iframe src='/f'>", ""),
+        ("<script src='/s'/>", ""),
+    ):
+        assert kept(f"<html><body>{start}{body}{end}</body></html>") == want, start
+    texts = lambda page: [b.text for b in html_blocks.leaves(page)]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><p><object data='a'>in words</object></p>") == ["so x=2 holds", "in words"]
+    assert texts("<form><input type=hidden>bare<br>Name: <input><br>more<div>block <button>b</button></div><label>l<p>p</form>") == ["bare more", "block", "p"]
+    assert texts("<script>code <p>code") == []
+
+
 def test_gradient():
     """The trained direction lowers the loss."""
     pages = html_blocks.made_pages(60)
