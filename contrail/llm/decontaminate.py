@@ -7,7 +7,9 @@ and their similarity is the weighted Jaccard similarity of these bags.
 Windows in which too few shingles of the item stand to reach the threshold are passed over (a bound, not a guess).
 The others get a SimHash of ``BITS`` bits. Fingerprints are looked up among the items of their size in
 ``radius + 1`` blocks of bits: two within the radius agree in a block, so none within it is missed. What is found
-within the radius is verified by its exact similarity. At a similarity of 0.8 fingerprints differ in about 19 of 128
+within the radius is verified by its exact similarity. A shingle's occurrences within an item or window count as
+different shingles (first, second, ...), so bags are sets and their weighted similarity is that of the sets, whatever
+repeats. At a similarity of 0.8 fingerprints differ in about 19 of 128
 bits, with a standard deviation of 4; the radius of 44 is six of these away.
 
 Items are collected and sent to the tasks in blocks of at most ``BLOCK_WORDS`` words (or one item), one pass over the
@@ -39,6 +41,25 @@ def _signs(values: np.ndarray) -> np.ndarray:
     return (np.unpackbits(wide.view(np.uint8), axis=1).astype(np.int32) << 1) - 1
 
 
+def _numbered(values: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """A value for each shingle's occurrence of that number; the first has the shingle's own."""
+    return np.where(number > 0, mixed(values ^ (number.astype(np.uint64) * np.uint64(WORD_BASE))), values)
+
+
+def _window_prints(values: np.ndarray, width: int, starts: np.ndarray) -> np.ndarray:
+    """Fingerprints of values[s : s + width] for all s in ``starts``, as the window slides."""
+    n = len(values)
+    place = np.arange(n)
+    kind = np.unique(values, return_inverse=True)[1] * (n + 1)
+    key = np.sort(kind + place)
+    among = lambda low, high, of: np.searchsorted(key, kind[of] + high) - np.searchsorted(key, kind[of] + low)
+    enter, leave = np.zeros((2, n + 1, BITS), np.int32)
+    np.cumsum(_signs(_numbered(values, among(np.maximum(place - width + 1, 0), place, place))), axis=0, out=enter[1:])
+    gone = place[: n - width]
+    np.cumsum(_signs(_numbered(values[gone], among(gone, gone + width, gone) - 1)), axis=0, out=leave[1 : n - width + 1])
+    return enter[starts + width] - leave[starts] > 0
+
+
 class Items:
     """The items of one block: their shingle bags, fingerprints by size, and which items hold a shingle."""
 
@@ -52,9 +73,12 @@ class Items:
         owner = np.repeat(np.arange(len(ids)), self.total)
         start = spans(words.bounds[:-1], self.total)
         value = prefix.of(start, start + self.gram[owner])
-        prints = np.stack([np.bincount(owner, s, len(ids)) for s in _signs(value).T], 1) > 0
         # each item's bag, sorted; and all shingles with the items that hold them
         order = np.lexsort((value, owner))
+        first = np.flatnonzero(np.r_[True, (value[order][1:] != value[order][:-1]) | (owner[order][1:] != owner[order][:-1])][: len(order)])
+        number = np.zeros(len(order), np.int64)
+        number[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+        prints = np.stack([np.bincount(owner, s, len(ids)) for s in _signs(_numbered(value, number)).T], 1) > 0
         self.value, self.cuts = value[order], np.r_[0, np.cumsum(self.total)]
         key = np.unique(np.stack([value, owner.astype(np.uint64)], 1), axis=0)
         self.known, first = np.unique(key[:, 0], return_index=True)
@@ -133,10 +157,8 @@ def scan(texts: Texts, items: Items, threshold: float) -> list[tuple[int, int, f
                     continue
                 shingle = np.arange(part[0], part[-1] + size - gram + 1)
                 value = prefix.of(shingle, shingle + gram)
-                run = np.zeros((len(value) + 1, BITS), np.int32)
-                np.cumsum(_signs(value), axis=0, out=run[1:])
                 here = part - part[0]
-                prints = run[here + size - gram + 1] - run[here] > 0
+                prints = _window_prints(value, size - gram + 1, here)
                 for window, other in zip(*items.near(prints, int(items.size[item])), strict=True):
                     if other == item:
                         found = items.similarity(value[here[window] : here[window] + size - gram + 1], item)

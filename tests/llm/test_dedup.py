@@ -216,3 +216,17 @@ def test_radius_reaches_the_threshold():
 def test_empty_table(operator, nothing):
     assert operator(nothing).collect() == []
 
+
+def test_decontamination_of_repeated_shingles(spark):
+    """At exactly 0.8, where the difference is one shingle again and again."""
+    shared = [" ".join(f"s{k}x{i}" for i in range(80)) for k in range(24)]
+    benchmark = spark.createDataFrame([(k, t + f" a{k}" * 10) for k, t in enumerate(shared)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, "lead in " + t + f" b{k}" * 10 + " and on") for k, t in enumerate(shared)], "doc_id long, text string")
+    got = decontaminate.matches(docs, benchmark, gram=1).collect()
+    assert bag((r[0], r[1], r[2], r[4]) for r in got) == bag((k, k, 0.8, 90) for k in range(24))
+    values = np.random.default_rng(1).integers(0, 4, 60).astype(np.uint64)
+    got = decontaminate._window_prints(values, 9, np.arange(52))
+    for s in range(52):
+        part = values[s : s + 9]
+        number = np.array([(part[:i] == part[i]).sum() for i in range(9)])
+        assert (got[s] == (decontaminate._signs(decontaminate._numbered(part, number)).sum(0) > 0)).all()
