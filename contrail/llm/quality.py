@@ -3,7 +3,8 @@
 Features of a text: every word, every byte 3-gram and 5-gram (across white space and line ends), and every word
 pair of which both are the same word; each hashed into ``BUCKETS`` rows, all of the whole text. A document's vector
 is the mean of its features' vectors. Training is stochastic gradient descent in numpy on the driver, over at most
-``max_rows`` labelled rows (those with the smallest id hashes), shipped as counted bucket numbers.
+``max_rows`` labelled rows (of the labels with the smallest id hashes, the rows with the smallest hashes of id, text
+and label, whatever their length), shipped as counted bucket numbers, each different row once.
 
 As the softmax is over a linear map of a mean, a bucket's vector acts through one number, its two class logits'
 difference. Scoring therefore sends one float per bucket (1 MB, whatever the corpus) to the tasks.
@@ -60,8 +61,8 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.searchsorted(key, np.arange(texts.rows + 1) * BUCKETS).astype(np.int32)
             lists = lambda v: pa.ListArray.from_arrays(pa.array(cut), pa.array(v.astype(np.int32)))  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label").slice(texts.first, texts.rows), lists(key % BUCKETS), lists(count)],
-                ["label", "buckets", "counts"],
+                [*(batch.column(c).slice(texts.first, texts.rows) for c in ("n", "label")), lists(key % BUCKETS), lists(count)],
+                ["n", "label", "buckets", "counts"],
             )
 
 
@@ -107,24 +108,33 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, dim: int = 8,
     """Learn from ``docs`` (key, text) and ``labels`` (key, label).
 
     The ``max_rows`` usable labels with the smallest key hashes are picked before any text moves; so few rows are
-    broadcast to the texts.
+    broadcast to the texts. Where ids repeat, at most ``max_rows`` of their rows are picked by hash, before any features.
     """
     usable = labels.where(F.col("label").isin(0, 1) & F.col("key").isNotNull()).select("key", F.col("label").cast("int").alias("label"))
     chosen = usable.orderBy(F.xxhash64("key"), "key", "label").limit(max_rows)
-    picked = docs.select("key", "text").join(F.broadcast(chosen), "key")
+    joined = docs.select("key", "text").join(F.broadcast(chosen), "key").withColumn("h", F.xxhash64("key", "text", "label"))
+    copies, room = {}, max_rows
+    for h, n in joined.groupBy("h").count().orderBy("h").limit(max_rows).collect():
+        copies[h] = min(n, room)
+        room -= copies[h]
+        if not room:
+            break
+    wanted = docs.sparkSession.createDataFrame(list(copies.items()), "h long, n int")
+    picked = joined.join(F.broadcast(wanted), "h").groupBy("h").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.first("text").alias("text"))
     rows = (
-        picked.select("label", "text")
-        .mapInArrow(counted, "label int, buckets array<int>, counts array<int>")
+        picked.select("n", "label", "text")
+        .mapInArrow(counted, "n int, label int, buckets array<int>, counts array<int>")
         .toArrow()
         .to_batches()
     )
     plain = [
         (int(label), bucket.values.to_numpy(), count.values.to_numpy())
         for b in rows
-        for label, bucket, count in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True)
+        for n, label, bucket, count in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True)
+        for _ in range(n)
     ]
     plain.sort(key=lambda r: (len(r[1]), r[1].tobytes(), r[2].tobytes(), r[0]))  # arrival order must not matter
-    return train(plain[:max_rows], dim, epochs, rate)
+    return train(plain, dim, epochs, rate)
 
 
 def score(docs: DataFrame, weights: np.ndarray, output: str = "score") -> DataFrame:

@@ -38,6 +38,21 @@ def test_quality_edges(corpus, nothing, spark):
     assert quality.score(nothing, weights, "p").collect() == []
 
 
+def test_quality_bound(spark, monkeypatch):
+    """Where ids repeat, the rows taken are bounded, long ones among them, and copies count up to the bound."""
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows, *_: seen.append(rows))
+    labels = spark.createDataFrame([(1, 1)], "key long, label int")
+    short, long = ([(1, " ".join(f"w{k}x{i}" for i in range(n)))] for k, n in ((0, 2), (1, 2000)))
+    many = [(1, f"{t} {k}") for k in range(30) for _, t in (*short, *long)]
+    quality.fit(spark.createDataFrame(many, "key long, text string"), labels, max_rows=20)
+    assert len(seen[0]) == 20 and any(len(r[1]) > 1000 for r in seen[0]) and any(len(r[1]) < 100 for r in seen[0])
+    quality.fit(spark.createDataFrame(short * 50, "key long, text string"), labels, max_rows=20)
+    assert len(seen[1]) == 20
+    quality.fit(spark.createDataFrame(short * 3 + long, "key long, text string"), labels, max_rows=20)
+    assert len(seen[2]) == 4
+
+
 def test_quality_held_out(spark):
     rows = QUERIES["op8_quality_classifier"](spark, "/root/testdata/sf0.01")
     assert rows.columns == ["doc_id", "held_out", "score", "predicted"]
