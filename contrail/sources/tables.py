@@ -49,26 +49,23 @@ def read_messages(
     start: str | datetime | None = None,
     end: str | datetime | None = None,
     icao24: str | None = None,
-    partition_hours: int = 1,
 ) -> DataFrame:
     """Messages of an inclusive time range and, optionally, one aircraft.
 
-    The day predicate next to the time predicate prunes partitions; time and
-    id reach the Parquet scan.
+    The day predicate next to the time predicate prunes partitions whatever
+    the width of their hour buckets; time and id reach the Parquet scan.
     """
     d = spark.read.parquet(path)
     for bound, lower in ((start, True), (end, False)):
         if bound is None:
             continue
         at = F.lit(bound).cast("timestamp")
-        day, hour = F.to_date(at), F.hour(at)
         if lower:
-            # the bucket that holds the bound may begin up to a day earlier than its hour
-            inside = (F.col("date") > day) | (F.col("hour_bucket") > hour - partition_hours)
-            d = d.filter((F.col("time") >= at) & (F.col("date") >= day) & inside)
+            d = d.filter((F.col("time") >= at) & (F.col("date") >= F.to_date(at)))
         else:
-            inside = (F.col("date") < day) | (F.col("hour_bucket") <= hour)
-            d = d.filter((F.col("time") <= at) & (F.col("date") <= day) & inside)
+            # a bucket begins at or before each of its rows
+            inside = (F.col("date") < F.to_date(at)) | (F.col("hour_bucket") <= F.hour(at))
+            d = d.filter((F.col("time") <= at) & (F.col("date") <= F.to_date(at)) & inside)
     if icao24 is not None:
         d = d.filter(F.col("icao24") == icao24.lower())
     return d.drop("date", "hour_bucket")
