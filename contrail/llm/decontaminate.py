@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrail.llm.common import WORD_BASE, Prefix, Texts, Words, mixed, spans, stretches
+from contrail.llm.common import WORD_BASE, Prefix, Shared, Texts, Words, mixed, spans, stretches
 
 BITS = 128
 RADIUS = 44
@@ -190,7 +190,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, gram:
         room -= n
     out = None
     for block in blocks:
-        items = spark.sparkContext.broadcast(Items([i if i is not None else -1 for i, _ in block], [t for _, t in block], gram, radius))
+        items = Shared(spark, Items([i if i is not None else -1 for i, _ in block], [t for _, t in block], gram, radius))
         ids = [i for i, _ in block]
 
         def run(batches: Iterator[pa.RecordBatch], items=items, ids=ids) -> Iterator[pa.RecordBatch]:

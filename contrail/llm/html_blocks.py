@@ -26,13 +26,12 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from contrail.llm.common import Texts, Words
+from contrail.llm.common import Shared, Texts, Words
 
 # Element names by their role in HTML.
 BLOCK = frozenset(
@@ -180,7 +179,6 @@ def leaves(page: str) -> list[Leaf]:
     return out
 
 
-@lru_cache(maxsize=50_000)
 def _path(parts: tuple[str, ...]) -> tuple[list[int], list[float]]:
     """Buckets and weights of a leaf's path: the inner parts count double."""
     return (
@@ -199,7 +197,8 @@ def describe(pages: list[list[Leaf]]) -> tuple[np.ndarray, ...]:
     words = Words(Texts(pa.array([b.text for b in blocks], pa.string()), 0), lower=True)
     owner = words.document()
     share = 1.0 / np.maximum(np.bincount(owner, minlength=n), 1)
-    paths = [_path(b.path or ("none",)) for b in blocks]
+    known: dict[tuple[str, ...], tuple[list[int], list[float]]] = {}
+    paths = [known.get(b.path) or known.setdefault(b.path, _path(b.path or ("none",))) for b in blocks]
     depth = np.array([len(p[0]) for p in paths])
     rows = np.concatenate([np.repeat(np.arange(n), depth), owner])
     buckets = np.concatenate([np.array([x for p in paths for x in p[0]], np.int64), PATHS + (words.hashes() % np.uint64(WORDS)).astype(np.int64)])
@@ -487,7 +486,7 @@ def trained(pages: int = 1500, epochs: int = 5) -> Labeller:
 def extract(pages: DataFrame, labeller: Labeller | None = None, output: str = "text") -> DataFrame:
     """``pages`` (with a column ``html``) without it and with its main text in ``output``; other columns are kept."""
     model = labeller or trained()
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(pages.sparkSession, model)
     names = [c for c in pages.columns if c not in ("html", output)]
     schema = pages.select(*[f"`{c}`" for c in names], pages["html"].cast("string").alias(output)).schema
 

@@ -23,7 +23,6 @@ left out when a component's smallest id is taken. Extra columns are not looked a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,6 @@ RUN, BLOCK, SHARD = 32, 256, 1024
 NO_ID = -(1 << 63)
 
 
-@lru_cache(maxsize=8)
 def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Size bands up to ``most``: their largest sizes, numbers of parts, and how many empty parts need no digest.
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,6 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], list[int]]:
     """Token ids of a text by the vocabulary file ``path``, without added special tokens.
 

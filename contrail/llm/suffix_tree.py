@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrail.llm.common import Texts, Words, signed, stretches
+from contrail.llm.common import Shared, Texts, Words, signed, stretches
 from contrail.session import materialize
 
 ORDER = 5
@@ -230,7 +230,7 @@ def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", least: float =
     order = np.argsort(common.column("word").to_numpy())
     known, known_c = common.column("word").to_numpy()[order], common.column("c").to_numpy()[order]
     below = np.log10(total + 0.1 * (distinct + 1))
-    shared = spark.sparkContext.broadcast((tree, known, np.log10(known_c + 0.1) - below))
+    shared = Shared(spark, (tree, known, np.log10(known_c + 0.1) - below))
     at_end = float(np.log10(ends + 0.1) - below)
     end_known = int(ends > 0)
 
