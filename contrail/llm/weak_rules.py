@@ -1,13 +1,16 @@
 """Quality rules by weak supervision: rules vote good or bad or abstain; the posterior decides, not the strictest rule.
 
 Each rule holds one measure of the whole text against two limits and votes good on one side, bad on the other, and
-abstains between them. How far a rule can be trusted is not known; expectation-maximisation over two hidden classes
-estimates, per rule and class, how often its vote is good. Votes are counted per pattern in Spark first, with at most
-3 ** len(RULES) patterns whatever the corpus, so the driver sees counts over all documents in bounded memory. A text's posterior is
-then one sum over its votes; it is kept if good is at least as probable as ``LEAST``.
+abstains between them. How far a rule can be trusted is not known; expectation-maximisation estimates, per rule and
+hidden class, how often its vote is good. Bad texts are bad in different ways that have little in common, so there is one class of
+good texts and one of bad texts per rule, where that rule sees most and the others are estimated. Votes are counted per
+pattern in Spark first, with at most 3 ** len(RULES) patterns whatever the corpus, so the driver sees counts over all
+documents in bounded memory. A text's posterior is then a sum over its votes per class; it is kept if the good class is
+at least as probable as ``LEAST``.
 
-A rule's vote never counts for the opposite of what it says: where bad texts get a good vote as often as good ones,
-the rule says nothing. ``PRIOR`` votes per rule and class stand in front of the counts.
+No bad class makes a rule's good vote likelier than the good class does. Besides the texts, ``PRIOR`` times as many
+imagined ones that follow the rules' ``trust`` are counted, at every size of the table; they settle what counts cannot,
+such as bad votes of one rule that no other joins.
 
 Null and empty texts have no words and all measures 0. Measures of equal texts are equal; repeated rows each get a
 row. An empty table teaches nothing and gives no rows. Extra columns are not looked at.
@@ -35,21 +38,25 @@ MEASURES = (
     " n_lettered n_shouts n_stops n_doubled n_bullets n_cut"
 ).split()
 
-#: name, measure (SQL over MEASURES, per word or line), good up to, bad from; limits as usual for web text.
+#: name, measure (SQL over MEASURES, per word or line), good up to, bad from, trust in a lone bad vote before any counts.
+#: Limits as usual for web text.
 RULES = [
-    ("symbols", "n_symbols / n_words", 0.03, 0.1),
-    ("repeats", "n_repeat_words / n_words", 0.1, 0.3),
-    ("duplicate_lines", "n_dup_lines / n_lines", 0.1, 0.3),
-    ("capitals", "n_capitals / greatest(n_letters, 1)", 0.15, 0.4),
-    ("shouts", "n_shouts / n_words", 0.03, 0.15),
-    ("unlettered", "1 - n_lettered / n_words", 0.1, 0.3),
-    ("doubled", "n_doubled / n_words", 0.02, 0.1),
-    ("word_length", "abs(word_chars / n_words - 6)", 3.5, 6.0),
-    ("unstopped", "1 - least(n_stops * 60 / n_words, 1)", 0.5, 0.9),
-    ("bullets", "n_bullets / n_lines", 0.3, 0.9),
-    ("cut_lines", "n_cut / n_lines", 0.1, 0.3),
+    ("symbols", "n_symbols / n_words", 0.03, 0.1, 0.9),
+    ("repeats", "n_repeat_words / n_words", 0.1, 0.3, 0.9),
+    ("duplicate_lines", "n_dup_lines / n_lines", 0.1, 0.35, 0.8),
+    ("capitals", "n_capitals / greatest(n_letters, 1)", 0.15, 0.4, 0.9),
+    ("shouts", "n_shouts / n_words", 0.03, 0.15, 0.9),
+    ("unlettered", "1 - n_lettered / n_words", 0.1, 0.3, 0.9),
+    ("doubled", "n_doubled / n_words", 0.03, 0.1, 0.9),
+    ("word_length", "abs(word_chars / n_words - 6)", 3.5, 6.0, 0.4),
+    ("unstopped", "1 - least(n_stops * 60 / n_words, 1)", 0.5, 0.9, 0.4),
+    ("bullets", "n_bullets / n_lines", 0.3, 0.9, 0.4),
+    ("cut_lines", "n_cut / n_lines", 0.1, 0.3, 0.4),
 ]
-PRIOR = 5.0
+TRUST = np.array([r[-1] for r in RULES])
+#: How often the rule itself sees a text that is bad in its way, and how much rarer other rules' good votes are there.
+BAD_SEEN, GOOD_SEEN = 0.9, 0.85
+PRIOR = 0.25
 LEAST = 0.5
 
 
@@ -133,7 +140,7 @@ def measured(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def votes() -> list[Column]:
     """One column per rule: 1 good, -1 bad, 0 abstains. A text without words gets no vote."""
     out = []
-    for name, measure, good, bad in RULES:
+    for name, measure, good, bad, _ in RULES:
         value = F.expr(measure)
         vote = F.when(F.col("n_words") == 0, 0).when(value <= good, 1).when(value >= bad, -1).otherwise(0)
         out.append(vote.cast("byte").alias(name))
@@ -141,43 +148,59 @@ def votes() -> list[Column]:
 
 
 class Model:
-    """How often each rule votes good in each class, and the share of good texts, learned from vote patterns."""
+    """How often each rule votes good in each class of texts, and the classes' shares, learned from vote patterns.
+
+    Class 0 holds the good texts, class k + 1 those that are bad in the way rule k looks for.
+    """
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200):
-        n_rules = patterns.shape[1] if patterns.ndim == 2 else len(RULES)
-        self.share = 0.8
-        # votes are thought right more often than not, until counts say otherwise
-        self.good, self.bad = np.full(n_rules, 0.9), np.full(n_rules, 0.6)
+        n_rules = len(TRUST)
+        kinds = n_rules + 1
+        share = np.r_[0.8, np.full(n_rules, 0.2 / n_rules)]
+        # a bad vote against good votes of all others is right with the rule's trust, until counts say otherwise
+        good = 1 - share[1:] * BAD_SEEN * GOOD_SEEN ** (n_rules - 1) * (1 - TRUST) / TRUST / share[0]
+        theta = np.tile(good * GOOD_SEEN, (kinds, 1))
+        theta[0] = good
+        theta[np.arange(1, kinds), np.arange(n_rules)] = 1 - BAD_SEEN
+        self.share, self.good = share, theta
+        first_share, first_good = share, theta
         if not len(counts):
             return
-        up, down = patterns == 1, patterns == -1
+        up, spoken = (patterns == 1).astype(float), (patterns != 0).astype(float)
+        imagined = (PRIOR * counts.sum() + 1) * first_share
         for _ in range(rounds):
-            before = np.r_[self.good, self.bad, self.share]
-            p = self.posterior(patterns)
-            weight, other = counts * p, counts * (1 - p)
-            total = lambda w, votes: (w[:, None] * votes).sum(0)
-            self.good = (total(weight, up) + 0.9 * PRIOR) / (total(weight, up | down) + PRIOR)
-            self.bad = np.minimum((total(other, up) + 0.6 * PRIOR) / (total(other, up | down) + PRIOR), self.good)
-            self.share = (weight.sum() + 0.8 * PRIOR) / (counts.sum() + PRIOR)
-            if np.abs(np.r_[self.good, self.bad, self.share] - before).max() < 1e-9:
+            before = np.r_[self.good.ravel(), self.share]
+            weight = counts[:, None] * self.classes(patterns)
+            some = (weight.T @ up + imagined[:, None] * first_good) / (weight.T @ spoken + imagined[:, None])
+            self.good = np.minimum(some, some[0])
+            self.share = (weight.sum(0) + imagined) / (counts.sum() + imagined.sum())
+            if np.abs(np.r_[self.good.ravel(), self.share] - before).max() < 1e-9:
                 break
 
-    def weights(self) -> tuple[float, np.ndarray, np.ndarray]:
-        """Log-odds of good: at the start, of each rule's good vote and of its bad vote."""
-        return float(np.log(self.share / (1 - self.share))), np.log(self.good / self.bad), np.log((1 - self.good) / (1 - self.bad))
+    def weights(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per class against class 0: log-odds at the start, of each rule's good vote and of its bad vote."""
+        return np.log(self.share / self.share[0]), np.log(self.good / self.good[0]), np.log((1 - self.good) / (1 - self.good[0]))
 
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+    def classes(self, patterns: np.ndarray) -> np.ndarray:
+        """The probability of every class, per pattern."""
         start, up, down = self.weights()
-        odds = start + (patterns == 1) @ up + (patterns == -1) @ down
-        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        odds = start + (patterns == 1) @ up.T + (patterns == -1) @ down.T
+        p = np.exp(odds - odds.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        return self.classes(patterns)[:, 0]
 
     def probability(self) -> Column:
         """The posterior of a row with the columns of ``votes``."""
-        start, up, down = self.weights()
-        odds = F.lit(start)
-        for (name, *_), a, b in zip(RULES, up, down, strict=True):
-            odds = odds + F.when(F.col(name) == 1, float(a)).when(F.col(name) == -1, float(b)).otherwise(0.0)
-        return 1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-500.0)), F.lit(500.0))))
+        ways = F.lit(0.0)
+        for start, up, down in list(zip(*self.weights(), strict=True))[1:]:
+            odds = F.lit(float(start))
+            for (name, *_), a, b in zip(RULES, up, down, strict=True):
+                if a or b:
+                    odds = odds + F.when(F.col(name) == 1, float(a)).when(F.col(name) == -1, float(b)).otherwise(0.0)
+            ways = ways + F.exp(odds)
+        return 1 / (1 + ways)
 
 
 def learn(voted: DataFrame) -> Model:
