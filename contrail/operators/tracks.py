@@ -239,12 +239,14 @@ def sliding_features(
     min_points: int = 3,
     keys: list[str] | None = None,
     position_gap: float = 30,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Features of the last ``window`` seconds, one row per message with enough points.
 
     ``df`` holds one row per (key, time). Its columns ``segment_start`` and
     ``track_callsign``, when present (see :func:`segment_tracks`), bound the
-    window and name the track.
+    window and name the track. ``carry`` names further columns of the
+    message to keep.
 
     Time is cut into panes of one window length, so every window is a tail of
     the previous pane plus a head of the current one. Each row is sent to its
@@ -257,7 +259,7 @@ def sliding_features(
     keys = keys or KEY
     part = [*keys, "segment_start"] if "segment_start" in df.columns else list(keys)
     width = int(window * 1_000_000)
-    carried = [c for c in ("sensor_id", "track_callsign") if c in df.columns]
+    carried = [c for c in ("sensor_id", "track_callsign", *(carry or [])) if c in df.columns]
     base = [*part, "time", *carried]
     d = df.selectExpr(*base, *FIELDS, "unix_micros(time) AS _t", "explode(array(true, false)) AS _own")
     d = d.selectExpr(

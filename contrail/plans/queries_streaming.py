@@ -8,7 +8,7 @@ from contrail.plans import views
 from contrail.plans.queries_alerts import FEATURE_SQL, ONE_PER_RULE, cooldown_sql, test_rules
 from contrail.plans.queries_statistics import bucket
 from contrail.plans.queries_signals import FRAMES, as_frames
-from contrail.plans.queries_tracks import SLIDING, WEEK, feature_select, shown
+from contrail.plans.queries_tracks import DAY, SEGMENT_FEATURES, SEGMENT_SQL, SLIDING, WEEK, feature_select, shown
 from contrail.plans.registry import R, r, register, us
 from contrail.plans.views import ALERTS_SQL, MESSAGES_SQL
 from contrail.session import shared_dir
@@ -21,6 +21,7 @@ NOW = {"availableNow": True}
 
 def stream(spark, sf, name: str = "events"):
     """A given table, one file or a folder of files, as a file stream."""
+    spark.conf.set(stateful.STORE, stateful.ROCKSDB)
     schema = views.table(spark, sf, name).schema
     reader = spark.readStream.schema(schema)
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
@@ -67,15 +68,56 @@ def stream_deduplicated(spark, sf):
     return d.select("icao24", us("time").alias("time"))
 
 
+PARTS, PART_DAYS, LATE_DAYS = 3, 10, 3
+PART_SQL = f"least(greatest((epoch_us(ts) - 1704067200000000) // {PART_DAYS * 86400 * 1_000_000}, 0), {PARTS - 1})"
+#: What the watermark lets through: no rows that come two parts late; of rows sent twice the second.
+ARRIVED_SQL = f"""arrived AS (SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 7 = 0 THEN value + 10 ELSE value END AS value, props
+  FROM events WHERE NOT (event_id % 29 = 0 AND {PART_SQL} = 0))"""
+
+
+def arrivals(spark, sf):
+    """Events in the order of ``part``: some one part after their time, some sent again with another value, some far too late."""
+    eid, day = F.col("event_id"), F.expr("unix_micros(cast(ts as timestamp)) - 1704067200000000") / (86400 * 1_000_000)
+    d = views.table(spark, sf, "events").withColumn("part", F.least(F.greatest(F.floor(day / PART_DAYS), F.lit(0)), F.lit(PARTS - 1)))
+    late = (eid % 29 == 0) & (F.col("part") == 0)
+    next_part = F.least(F.col("part") + 1, F.lit(PARTS - 1))
+    end = day - PART_DAYS * F.col("part") >= PART_DAYS - LATE_DAYS + 1
+    first = F.when(late, F.col("part") + 2).when((eid % 5 == 0) & end, next_part).otherwise(F.col("part"))
+    again = d.where(~late & (eid % 7 == 0)).select("*", F.lit(True).alias("again"), F.when(end, next_part).otherwise(F.col("part")).alias("at"))
+    d = d.select("*", F.lit(False).alias("again"), first.alias("at")).unionByName(again.withColumn("value", F.col("value") + 10))
+    return d.drop("part").withColumnRenamed("at", "part")
+
+
+def in_parts(spark, sf, start, purpose: str) -> str:
+    """Run a stream to the end of the data after each part has arrived, restarting it from its checkpoint in between.
+
+    ``start(messages, path)`` starts the stream that writes below ``path``.
+    """
+    spark.conf.set(stateful.STORE, stateful.ROCKSDB)
+    path, events = shared_dir(spark, purpose), arrivals(spark, sf)
+    for part in range(PARTS):
+        events.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema(events.drop("part").schema).parquet(f"{path}/in")
+        sent = views.as_messages(source, "again").withColumn("ingest_seq", F.col("ingest_seq") + F.when(F.col("again"), 1_000_000_000).otherwise(0))
+        start(sent.drop("again"), path).awaitTermination()
+    return path
+
+
 @register(
     "stream_features",
-    f"""{M}, {SLIDING} SELECT icao24, ts AS window_start, te AS window_end, {feature_select()} FROM base LEFT JOIN pos USING (w)
-    WHERE msg_count >= 3 AND te <= (SELECT max(t) FROM messages) - 3600000000""",
+    f"""WITH {ARRIVED_SQL}, {SEGMENT_SQL[len("WITH "):].replace("FROM events", "FROM arrived")}, {SEGMENT_FEATURES}
+    SELECT icao24, ts AS window_start, te AS window_end, {feature_select()} FROM base LEFT JOIN pos USING (w)
+    WHERE msg_count >= 3 AND te <= (SELECT floor(max(t) / 1000) * 1000 FROM messages) - {LATE_DAYS * 86400 * 1_000_000}""",
 )
 def stream_features(spark, sf):
-    path = shared_dir(spark, "stream-features")
-    job = jobs.FeatureJob(path, WEEK, 3600)
-    jobs.run_job(messages(spark, sf), job, f"{path}/checkpoint", **NOW).awaitTermination()
+    """Six micro-batches over three parts, each taken in after a restart and closed by the watermark, with late, repeated
+    and out-of-order arrivals; windows end at silent days."""
+
+    def start(messages, path):
+        job = jobs.FeatureJob(path, WEEK, LATE_DAYS * 86400, idle=DAY)
+        return jobs.run_job(messages, job, f"{path}/checkpoint", **NOW)
+
+    path = in_parts(spark, sf, start, "stream-features")
     return shown(spark.read.parquet(f"{path}/features"))
 
 

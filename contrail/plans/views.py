@@ -16,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def as_messages(events: DataFrame) -> DataFrame:
-    """``events`` (batch or stream) as aircraft messages."""
+def as_messages(events: DataFrame, *more: str) -> DataFrame:
+    """``events`` (batch or stream) as aircraft messages; ``more`` columns are kept."""
     eid = F.col("event_id")
     positioned = eid % 11 != 0
     return events.select(
@@ -34,6 +34,7 @@ def as_messages(events: DataFrame) -> DataFrame:
         F.when(eid % 50 == 0, "7700").when(eid % 50 == 1, "7600").otherwise("1200").alias("squawk"),
         F.col("value").alias("signal_level"),
         eid.alias("ingest_seq"),
+        *more,
     )
 
 

@@ -1,23 +1,21 @@
 """Streaming jobs around the batch operators: detection, upserts, outbox, pushes.
 
-A job runs its batch operator in ``foreachBatch`` on what is new plus the
-stored rows that can still matter. So stream and batch share one
-implementation, a busy aircraft is spread over time panes as in batch, and the
-only state is tables in shared storage. Everything written is keyed by batch
-id and overwritten when a batch is run again, so a retry leaves no duplicates.
+A job runs its batch operator in ``foreachBatch`` on rows that keyed state has released with all they need. So stream
+and batch share one implementation and a busy aircraft is spread over time panes as in batch. Everything written is
+keyed by batch id and overwritten when a batch is run again, so a retry leaves no duplicates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail.operators import alerts as al
 from contrail.operators import offline, ordered, rules, tracks
-from contrail.session import materialize
+from contrail.session import discard, materialize
+from contrail.streaming import track_state
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -25,74 +23,37 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def _before(spark: SparkSession, path: str, batch_id: int, schema: str | None = None) -> DataFrame | None:
-    """What earlier batches wrote under ``path``; the current batch's own leftovers are left out."""
-    if not _exists(spark, path):
-        return None
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(path).filter(F.col("batch") < batch_id)
-
-
 class FeatureJob:
     """Sliding features of a message stream, final once the watermark has passed a message.
 
-    Of messages with the same aircraft and time the later arrival wins, as in batch, until the watermark releases
-    them. What arrives at or below the instant released so far is late: it changes nothing and is counted in
-    ``progress``, so windows released later see the same messages as those before.
-
-    Layout below ``path``: ``messages/batch=…/day=…`` (input kept as context; days that no window can reach any more
-    are deleted), ``features/batch=…`` (result) and ``progress/batch=…`` (instant released, newest time, late rows).
+    Messages wait in keyed state (:mod:`contrail.streaming.track_state`) until then; of those with the same aircraft
+    and time the later arrival wins. What arrives behind the watermark is dropped and counted in the query's progress.
+    Each micro-batch of released messages and what their windows reach goes through the batch operator and is written
+    to ``features/batch=…`` below ``path``; the input itself is not stored. With ``idle``, windows end at gaps of
+    more than so many seconds, and the features carry ``segment_start`` and ``track_callsign`` as far as the window reaches.
     """
 
-    def __init__(self, path: str, window: float = 30, delay: float = 60, min_points: int = 3):
+    def __init__(
+        self, path: str, window: float = 30, delay: float = 60, min_points: int = 3, idle: float | None = None, arrival: str = "ingest_seq"
+    ):
         self.path, self.window, self.delay, self.min_points = path, window, delay, min_points
+        self.idle, self.arrival = idle, arrival
+
+    def prepare(self, messages: DataFrame) -> DataFrame:
+        return track_state.released(messages, self.window, self.delay, self.idle, self.arrival)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        progress = _before(spark, f"{self.path}/progress", batch_id, f"{self.PROGRESS}, batch int")
-        done = progress.agg(F.max("reached"), F.max("seen")).first() if progress is not None else (None, None)
-        late = 0
-        if done[0]:
-            late = batch.filter(F.col("time") <= F.lit(done[0])).count()
-            batch = batch.filter(F.col("time") > F.lit(done[0]))
-        stored = batch.withColumn("day", F.to_date("time"))
-        stored.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/messages/batch={batch_id}")
-        kept = spark.read.parquet(f"{self.path}/messages").filter(F.col("batch") <= batch_id)
-        newest = kept.filter(F.col("batch") == batch_id).agg(F.max("time")).first()[0]
-        if newest is None:
-            if late:
-                self.note(spark, batch_id, done[0], done[1], late)
+        # written once: each further pass over the batch would run the keyed state again
+        released = materialize(batch.sparkSession, batch, "released")
+        if released.isEmpty():
             return
-        seen = max(newest, done[1]) if done[1] else newest
-        reached = max(seen - timedelta(seconds=self.delay), done[0]) if done[0] else seen - timedelta(seconds=self.delay)
-        recent = kept.filter(F.col("time") <= F.lit(reached))
-        if done[0]:
-            # only the days the windows of new results reach back to
-            floor = F.lit(done[0] - timedelta(seconds=self.window))
-            recent = recent.filter((F.col("time") >= floor) & (F.col("day") >= F.to_date(floor)))
-        arrival = ["batch", *(c for c in ("ingest_seq",) if c in recent.columns)]
-        rows = tracks.deduplicate(recent.drop("day"), arrival).drop("batch")
-        features = tracks.sliding_features(rows, self.window, self.min_points)
-        if done[0]:
-            features = features.filter(F.col("window_end") > F.lit(done[0]))
-        self.emit(features, batch_id)
-        self.note(spark, batch_id, reached, seen, late)
-        self.expire(spark, reached)
-
-    PROGRESS = "reached timestamp, seen timestamp, late long"
-
-    def note(self, spark: SparkSession, batch_id: int, reached, seen, late: int) -> None:
-        row = spark.createDataFrame([(reached, seen, late)], self.PROGRESS)
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/progress/batch={batch_id}")
-
-    def expire(self, spark: SparkSession, reached) -> None:
-        """Delete stored days before those that the next windows, or a retry of this batch, can reach."""
-        first = (reached - timedelta(seconds=self.window + self.delay, days=2)).date().isoformat()
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/messages/batch=*/day=*")
-        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-        for status in files.globStatus(where) or []:
-            if status.getPath().getName().split("=")[1] < first:
-                files.delete(status.getPath(), True)
+        # a message may be context of two panes; new in one of them at most
+        rows = ordered.latest_per_key(released, ["icao24", "time"], ["new"])
+        if self.idle is not None:
+            rows = tracks.segment_tracks(rows, self.idle)
+        features = tracks.sliding_features(rows, self.window, self.min_points, carry=["new"])
+        self.emit(features.filter("new").drop("new"), batch_id)
+        discard(released)
 
     def emit(self, features: DataFrame, batch_id: int) -> None:
         features.write.mode("overwrite").parquet(f"{self.path}/features/batch={batch_id}")
@@ -107,9 +68,9 @@ class DetectJob(FeatureJob):
     def __init__(
         self, path: str, window: float = 30, delay: float = 60, min_points: int = 3,
         rule_set: Iterable[rules.Rule] | None = None, forest=None, minimum: str = "medium",
-        handlers: Iterable[Callable[[DataFrame, int], None]] = (),
+        handlers: Iterable[Callable[[DataFrame, int], None]] = (), idle: float | None = None, arrival: str = "ingest_seq",
     ):
-        super().__init__(path, window, delay, min_points)
+        super().__init__(path, window, delay, min_points, idle, arrival)
         self.rule_set = list(rule_set) if rule_set is not None else None
         self.forest, self.minimum, self.handlers = forest, minimum, list(handlers)
 
@@ -176,5 +137,7 @@ def sync_outbox(
 
 def run_job(df: DataFrame, job: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
     """Start a job on a stream; its checkpoint makes it resume where it stopped."""
+    if hasattr(job, "prepare"):
+        df = job.prepare(df)
     writer = df.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "30 seconds"})).start()

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -15,9 +15,16 @@ from contrail.functions import severity as sev
 from contrail.schemas import JSON_TIMES
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore.providerClass"
 EXPIRY_SECONDS = 3600  # fixed value: a key's state is dropped after this time
 
 
+def needs_rocksdb(spark: SparkSession) -> None:
+    """Keyed state with timers needs the RocksDB store; the session's owner sets it, not a library function."""
+    if spark.conf.get(STORE, "") != ROCKSDB:
+        raise ValueError(f"set {STORE} to {ROCKSDB}")
+
+
 class CooldownProcessor(StatefulProcessor):
     """Holds alerts until the watermark has passed them, then applies the rule in time order.
 
@@ -85,11 +92,10 @@ def cooldown_stream(
 ) -> DataFrame:
     """The batch cooldown as a stream: the same alerts pass, once the watermark is beyond them.
 
-    Needs the RocksDB state store (set here for the session).
+    Needs the RocksDB state store.
     """
     keys = keys or ["icao24", "alert_type"]
-    spark = alerts.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    needs_rocksdb(alerts.sparkSession)
     schema = alerts.schema
     body = alerts.filter(sev.at_least(F.col("severity"), min_severity)).withWatermark("time", horizon)
     rows = body.select(*keys, "time", F.unix_micros("time").alias("micros"), F.to_json(F.struct(*alerts.columns), JSON_TIMES).alias("payload"))
