@@ -121,12 +121,17 @@ def stored(spark, sf, hours: int = 6) -> str:
 
 @register(
     "stored_messages",
-    f"""{M} SELECT icao24, ingest_seq, t AS time FROM messages WHERE time BETWEEN TIMESTAMP '2024-01-10 05:30:00' AND TIMESTAMP '2024-01-20 17:45:00'""",
+    f"""{M} SELECT w AS hours, icao24, ingest_seq, t AS time FROM messages, (VALUES (1), (2), (6), (24)) h(w)
+    WHERE time BETWEEN TIMESTAMP '2024-01-10 05:30:00' AND TIMESTAMP '2024-01-20 17:45:00'""",
 )
 def stored_messages(spark, sf):
-    """Written partitioned by day and hour bucket, read back with pruning."""
-    d = tables.read_messages(spark, stored(spark, sf), "2024-01-10 05:30:00", "2024-01-20 17:45:00")
-    return d.select("icao24", "ingest_seq", us("time").alias("time"))
+    """Written in buckets of several widths, each read back from the files that its manifest names for the range."""
+    out = None
+    for hours in (1, 2, 6, 24):
+        d = tables.read_messages(spark, stored(spark, sf, hours), "2024-01-10 05:30:00", "2024-01-20 17:45:00")
+        d = d.select(F.lit(hours).alias("hours"), "icao24", "ingest_seq", us("time").alias("time"))
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 @register("stored_aircraft", f"{M} SELECT icao24, ingest_seq FROM messages WHERE icao24 = '9' AND time >= TIMESTAMP '2024-01-15'")
@@ -185,15 +190,35 @@ def retained_outbox(spark, sf):
 
 @register(
     "storage_stats",
-    """SELECT (SELECT count(*) FROM (SELECT DISTINCT epoch_us(ts) // 21600000000 FROM events)) AS partitions, (SELECT count(*) FROM events) AS rows,
-    true AS has_bytes, true AS file_per_partition""",
+    """SELECT count(DISTINCT epoch_us(ts) // 21600000000) AS partitions, count(*) AS rows, 0 AS unlogged_files, 0 AS unlogged_bytes FROM events""",
 )
 def storage_stats(spark, sf):
+    """Counts from the manifest; next to them what the folder holds beyond it."""
     path = stored(spark, sf)
     parts = len(tables.list_partitions(spark, path))
-    d = tables.storage_stats(spark, path)
-    return d.select(F.lit(parts).cast("long").alias("partitions"), "rows", (F.col("bytes") > 0).alias("has_bytes"),
-                    (F.col("files") >= parts).alias("file_per_partition"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.parquet").load(path)
+    listed = listed.filter(~F.col("path").contains("/_manifest/")).agg(F.count("*").alias("n"), F.sum("length").alias("size"))
+    d = tables.storage_stats(spark, path).crossJoin(listed)  # one row each
+    return d.select(F.lit(parts).cast("long").alias("partitions"), "rows", (F.col("n") - F.col("files")).alias("unlogged_files"),
+                    (F.col("size") - F.col("bytes")).alias("unlogged_bytes"))
+
+
+@register(
+    "partition_stats",
+    f"""{M} SELECT t - t % 21600000000 AS bucket, count(*) AS rows, min(t) AS min_time, max(t) AS max_time FROM messages
+    WHERE time >= TIMESTAMP '2024-01-08' GROUP BY ALL""",
+)
+def partition_stats(spark, sf):
+    """Two appends and a retention later, rows and time range of every partition from the manifest."""
+    path = shared_dir(spark, "messages")
+    d = messages(spark, sf)
+    tables.write_messages(d.where("ingest_seq % 2 = 0"), path, 6)
+    tables.write_messages(d.where("ingest_seq % 2 = 1"), path, 6)
+    tables.expire_partitions(spark, path, datetime(2024, 1, 15), 7)
+    hours = F.col("hour_bucket") * F.lit(3_600_000_000).cast("long")
+    return tables.partition_stats(spark, path).select(
+        (F.unix_micros(F.col("date").cast("timestamp")) + hours).alias("bucket"), "rows", us("min_time").alias("min_time"), us("max_time").alias("max_time")
+    )
 
 
 @register(

@@ -63,6 +63,55 @@ def test_retention(spark, table):
     assert stats["rows"] == 192 and stats["files"] >= 16 and stats["bytes"] > 0
 
 
+def rows_of(spark, ids, day=0):
+    return spark.createDataFrame([(T0 + timedelta(days=day, hours=i), f"a{i % 2}", i) for i in ids], "time timestamp, icao24 string, id int")
+
+
+@pytest.mark.parametrize("hours", [1, 2, 6, 24])
+def test_manifest_of_every_width(spark, tmp_path, hours):
+    """Ranges at and around bucket edges lose nothing; only files of the range are opened; other widths are refused."""
+    path = str(tmp_path / "t")
+    tables.write_messages(rows_of(spark, range(48)), path, hours)
+    for low, high in ((5, 6), (0, 0), (23, 24), (6, 47), (11, 13)):
+        d = tables.read_messages(spark, path, T0 + timedelta(hours=low), T0 + timedelta(hours=high))
+        assert sorted(r["id"] for r in d.collect()) == list(range(low, high + 1))
+        assert len(d.inputFiles()) <= (high - low) // hours + 2
+    with pytest.raises(ValueError, match="hours wide"):
+        tables.write_messages(rows_of(spark, range(3)), path, 25 - hours)
+    assert tables.read_messages(spark, path, T0 + timedelta(days=9)).count() == 0
+    assert tables.read_messages(spark, path).count() == 48
+
+
+def test_manifest_is_the_commit(spark, tmp_path, monkeypatch):
+    """An append written again replaces itself; one that failed before its manifest is not read; statistics agree."""
+    path = str(tmp_path / "t")
+    tables.write_messages(rows_of(spark, range(10)), path, append="first")
+    tables.write_messages(rows_of(spark, range(10, 20)), path, append="second")
+    tables.write_messages(rows_of(spark, range(10, 22)), path, append="second")
+    with monkeypatch.context() as broken:
+        broken.setattr(tables, "_log", lambda *a: None)
+        tables.write_messages(rows_of(spark, range(90, 95)), path, append="third")
+    assert sorted(r["id"] for r in tables.read_messages(spark, path).collect()) == list(range(22))
+    stats = tables.storage_stats(spark, path).first()
+    assert (stats["rows"], stats["files"]) == (22, 22)
+    tables.write_messages(rows_of(spark, range(90, 95)), path, append="third")
+    assert tables.read_messages(spark, path).count() == 27
+    # a partition that was dropped and written again counts with its new rows only
+    tables.retain_partitions(spark, path, 5)
+    tables.write_messages(rows_of(spark, range(2)), path)
+    assert sorted(r["id"] for r in tables.read_messages(spark, path).collect()) == [0, 1, *range(90, 95)]
+    assert tables.partition_stats(spark, path).count() == 7
+
+
+def test_table_without_a_manifest(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.with_partitions(rows_of(spark, range(48)), 12).write.partitionBy("date", "hour_bucket").parquet(path)
+    d = tables.read_messages(spark, path, T0 + timedelta(hours=5), T0 + timedelta(hours=30))
+    assert sorted(r["id"] for r in d.collect()) == list(range(5, 31))
+    assert tables.storage_stats(spark, path).first()["rows"] == 48 and len(tables.list_partitions(spark, path)) == 4
+    assert tables.retain_partitions(spark, path, 1) == [("2024-01-01", 0), ("2024-01-01", 12), ("2024-01-02", 0)]
+
+
 def test_boxes(spark):
     assert filters.parse_box("1,2,3") is None and filters.parse_box(None) is None
     assert filters.parse_box("-74,40,-73,41", "wsen") == (40.0, 41.0, -74.0, -73.0)
