@@ -41,7 +41,16 @@ def test_quality_edges(corpus, nothing, spark):
 def test_quality_bound(spark, monkeypatch):
     """Where ids repeat, the rows taken are bounded, long ones among them, and copies count up to the bound."""
     seen = []
-    monkeypatch.setattr(quality, "train", lambda rows, *_: seen.append(rows))
+    monkeypatch.setattr(quality, "PORTION", 10_000)
+    sizes = []
+
+    def taken(portions, load, n_rows, *_):
+        loaded = [load(p) for p in portions]
+        sizes.append([sum(len(r[1]) for r in rows) for rows in loaded])
+        seen.append([r for rows in loaded for r in rows])
+        assert len(seen[-1]) == n_rows
+
+    monkeypatch.setattr(quality, "train", taken)
     labels = spark.createDataFrame([(1, 1)], "key long, label int")
     short, long = ([(1, " ".join(f"w{k}x{i}" for i in range(n)))] for k, n in ((0, 2), (1, 2000)))
     many = [(1, f"{t} {k}") for k in range(30) for _, t in (*short, *long)]
@@ -51,6 +60,8 @@ def test_quality_bound(spark, monkeypatch):
     assert len(seen[1]) == 20
     quality.fit(spark.createDataFrame(short * 3 + long, "key long, text string"), labels, max_rows=20)
     assert len(seen[2]) == 4
+    # in portions, each of which is bounded
+    assert len(sizes[0]) > 1 and max(sizes[0]) < 10_000 + max(len(r[1]) for r in seen[0])
 
 
 def test_quality_held_out(spark):
