@@ -44,6 +44,46 @@ def _distinct_stats(d: DataFrame, keys: list[str], count: str, distinct: str, me
     )
 
 
+#: log2 of a sketch's registers. Counts up to about an eighth of these are exact; the standard error beyond is 1.04 / sqrt(2 ** SKETCH).
+SKETCH = 12
+
+
+def sketched(messages: DataFrame, seconds: int = 300) -> DataFrame:
+    """Per sensor and pane: messages, signal count and sum, and a mergeable sketch of the distinct aircraft.
+
+    Each is a partial result: panes add up to hours and days by :func:`roll_up` without the messages. Sketches are
+    merged before the shuffle, so a busy sensor sends one per task.
+    """
+    return messages.groupBy(geo.time_bucket(F.col("time"), seconds).alias("bucket"), "sensor_id").agg(
+        F.count("*").alias("message_count"),
+        F.count("signal_level").alias("signals"),
+        F.sum("signal_level").alias("signal_sum"),
+        F.hll_sketch_agg("icao24", SKETCH).alias("aircraft"),
+    )
+
+
+def roll_up(panes: DataFrame, seconds: int, keys: list[str] | None = None) -> DataFrame:
+    """Longer buckets (whole multiples of the panes) of the same form as :func:`sketched`."""
+    keys = ["sensor_id"] if keys is None else keys
+    return panes.groupBy(geo.time_bucket(F.col("bucket"), seconds).alias("bucket"), *keys).agg(
+        F.sum("message_count").alias("message_count"),
+        F.sum("signals").alias("signals"),
+        F.sum("signal_sum").alias("signal_sum"),
+        F.hll_union_agg("aircraft").alias("aircraft"),
+    )
+
+
+def sketch_stats(panes: DataFrame) -> DataFrame:
+    """The columns of :func:`hourly_stats` from sketched rows of any length."""
+    rest = [c for c in panes.columns if c not in ("message_count", "signals", "signal_sum", "aircraft")]
+    return panes.select(
+        *rest,
+        "message_count",
+        F.hll_sketch_estimate("aircraft").alias("unique_aircraft"),
+        F.try_divide("signal_sum", F.col("signals")).alias("avg_signal_level"),
+    )
+
+
 def message_stats(messages: DataFrame, interval: str = "24 hours", as_of: As = None, seconds: int = 3600) -> DataFrame:
     """Messages, distinct aircraft and mean signal per hour, newest first."""
     d = filters.since(messages, interval, as_of).withColumn("hour", geo.time_bucket(F.col("time"), seconds))

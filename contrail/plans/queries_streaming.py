@@ -13,7 +13,8 @@ from contrail.plans.registry import R, r, register, us
 from contrail.plans.views import ALERTS_SQL, MESSAGES_SQL
 from contrail.session import shared_dir
 from contrail.sources import topics
-from contrail.streaming import continuous, jobs, stateful
+from contrail.operators import aggregates
+from contrail.streaming import continuous, jobs, refresh, stateful
 
 M = "WITH " + MESSAGES_SQL
 NOW = {"availableNow": True}
@@ -121,6 +122,71 @@ def stream_features(spark, sf):
     return shown(spark.read.parquet(f"{path}/features"))
 
 
+#: Every arrival with the part it came in, as messages.
+SENT_SQL = f"""dated AS (SELECT *, {PART_SQL} AS p, (epoch_us(ts) - 1704067200000000) / 86400e6::DOUBLE - {PART_DAYS} * {PART_SQL} >= {PART_DAYS - LATE_DAYS + 1} AS late_in_part FROM events),
+sent AS (SELECT event_id, ts, user_id, event_type, value, props, CASE WHEN event_id % 29 = 0 AND p = 0 THEN 2
+    WHEN event_id % 5 = 0 AND late_in_part THEN least(p + 1, {PARTS - 1}) ELSE p END AS part FROM dated
+  UNION ALL SELECT event_id, ts, user_id, event_type, value + 10, props, CASE WHEN late_in_part THEN least(p + 1, {PARTS - 1}) ELSE p END FROM dated
+    WHERE event_id % 7 = 0 AND NOT (event_id % 29 = 0 AND p = 0)),
+{MESSAGES_SQL.strip().replace("FROM events", "FROM sent").replace("epoch_us(ts) AS t", "epoch_us(ts) AS t, part")}"""
+HORIZON_DAYS = 25
+
+
+def refreshed_sql(seconds: int) -> str:
+    """Buckets with the last part that refreshed them: it touched them, and they were within the horizon of the newest message then."""
+    us_ = seconds * 1_000_000
+    return f"""{SENT_SQL}, newest AS (SELECT r.part, max(t) AS as_of FROM messages JOIN range({PARTS}) r(part) ON messages.part <= r.part GROUP BY r.part),
+    hit AS (SELECT DISTINCT t - t % {us_} AS bucket, part FROM messages),
+    last AS (SELECT bucket, max(part) AS upto FROM hit JOIN newest USING (part) WHERE bucket >= as_of - {HORIZON_DAYS * 86400 * 1_000_000} GROUP BY bucket)"""
+
+
+@register(
+    "stream_refreshed_windows",
+    f"""WITH {refreshed_sql(86400)} SELECT bucket, icao24, sensor_id, {R('avg(velocity)')} AS avg_velocity,
+    {R('stddev_samp(velocity)')} AS std_velocity, min(velocity) AS min_velocity, max(velocity) AS max_velocity,
+    {R('avg(altitude)')} AS avg_altitude, {R('stddev_samp(altitude)')} AS std_altitude,
+    min(altitude) AS min_altitude, max(altitude) AS max_altitude, {R('avg(heading)')} AS avg_heading,
+    {R('avg(vert_rate)')} AS avg_vert_rate, max(abs(vert_rate)) AS max_vert_rate, count(*) AS msg_count,
+    max(callsign) AS callsign, max(squawk) AS squawk
+    FROM messages JOIN last ON bucket = t - t % 86400000000 AND part <= upto WHERE latitude IS NOT NULL GROUP BY ALL""",
+)
+def stream_refreshed_windows(spark, sf):
+    """Daily windows over late arrivals: each part recomputes the days it touches, as far back as the horizon."""
+
+    def job(path):
+        return refresh.refreshed_windows(f"{path}/windows", f"{path}/messages", 86400, f"{HORIZON_DAYS} days", 24)
+
+    path = in_parts(spark, sf, lambda m, path: jobs.run_job(m, job(path), f"{path}/checkpoint", **NOW), "stream-refreshed")
+    d = job(path).read(spark)
+    rounded = ("avg_velocity", "std_velocity", "avg_altitude", "std_altitude", "avg_heading", "avg_vert_rate")
+    return d.withColumns({"bucket": us("bucket"), **{c: r(c) for c in rounded}})
+
+
+@register(
+    "stream_sketched_stats",
+    f"""WITH {refreshed_sql(300)}, kept AS (SELECT * FROM messages JOIN last ON bucket = t - t % 300000000 AND part <= upto),
+    spans AS (SELECT 3600 AS seconds, t - t % 3600000000 AS span, * EXCLUDE (bucket) FROM kept UNION ALL SELECT 86400, t - t % 86400000000, * EXCLUDE (bucket) FROM kept)
+    SELECT seconds, span AS bucket, sensor_id, count(*) AS message_count, count(DISTINCT icao24) AS unique_aircraft,
+    {R('avg(signal_level)')} AS avg_signal_level FROM spans GROUP BY ALL""",
+)
+def stream_sketched_stats(spark, sf):
+    """Hours from stored panes, days from the hours: distinct aircraft by merged sketches, messages read once for their pane.
+
+    The SQL counts exactly; sketches of so few aircraft are exact, and larger ones are held to their error in the tests.
+    """
+
+    def job(path):
+        return refresh.refreshed_sketches(f"{path}/panes", f"{path}/messages", 300, f"{HORIZON_DAYS} days", 24)
+
+    path = in_parts(spark, sf, lambda m, path: jobs.run_job(m, job(path), f"{path}/checkpoint", **NOW), "stream-sketched")
+    hours = aggregates.roll_up(job(path).read(spark), 3600)
+    out = None
+    for seconds, d in ((3600, hours), (86400, aggregates.roll_up(hours, 86400))):
+        d = aggregates.sketch_stats(d).withColumns({"bucket": us("bucket"), "avg_signal_level": r("avg_signal_level"), "seconds": F.lit(seconds)})
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 LIMIT = "te <= (SELECT max(t) FROM messages) - 3600000000"
 
 
