@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,27 +55,37 @@ def subscribe(
     schema=None,
     start: str = "all",
     files_per_trigger: int | None = None,
+    consumer: str | None = None,
 ) -> DataFrame:
     """Stream of the records whose topic begins with ``prefix``, parsed if a schema is given.
 
-    ``start="new"`` skips what is already in the folder. Durability is the
-    checkpoint of the query that consumes the stream.
+    ``start="new"`` skips what is in the folder when ``consumer`` (by default
+    the prefix) subscribes for the first time. Where it starts is decided then and kept
+    in the folder, so after a restart it goes on with what was published
+    in between. Durability is the checkpoint of the query that consumes the
+    stream.
     """
     reader = spark.readStream.schema(RECORDS)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     d = reader.json(path).filter(F.startswith("topic", F.lit(prefix)))
     if start == "new":
-        # file streams know no "modifiedAfter"; the file's own time tells what was there before
-        d = d.filter(F.col("_metadata.file_modification_time") > F.lit(_now(spark)).cast("timestamp")).select(*d.columns)
+        before = _present_at_start(spark, path, consumer or prefix)
+        d = d.withColumn("_file", F.col("_metadata.file_path")).join(before, "_file", "left_anti").select("topic", "value")
     if schema is None:
         return d
     return d.select("topic", F.from_json("value", schema, JSON_TIMES).alias("r")).select("topic", "r.*")
 
 
-def _now(spark: SparkSession) -> str:
-    row = spark.range(1).select(F.current_timestamp().cast("string")).first()
-    return row[0]
+def _present_at_start(spark: SparkSession, path: str, consumer: str) -> DataFrame:
+    """Files that were in the folder when the consumer first subscribed: names, not times, so no clock decides."""
+    name = re.sub(r"[^A-Za-z0-9-]", lambda c: f"_{ord(c[0]):x}", consumer)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    kept, place = f"{path}/_consumers/{name}", hadoop.Path(f"{path}/_consumers/{name}/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        files = spark.read.schema(RECORDS).json(path).select(F.col("_metadata.file_path").alias("_file")).distinct()
+        files.write.mode("overwrite").parquet(kept)
+    return spark.read.schema("_file string").parquet(kept)
 
 
 def on_batch(df: DataFrame, handlers: list[Callable[[DataFrame, int], None]], checkpoint: str, **trigger):

@@ -1,6 +1,5 @@
 """Streams in several micro-batches give what the batch operators give."""
 
-import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -126,17 +125,28 @@ def test_stream_of_a_table_folder(spark, tmp_path):
 
 
 def test_subscribe_to_new_records_only(spark, tmp_path):
+    """Where a consumer starts is decided once: records published while it is down arrive, each exactly once."""
     from contrail.sources import topics
 
-    path = str(tmp_path / "topics")
-    rows = lambda k: spark.createDataFrame([("alerts.x", str(k))], "topic string, value string")
-    rows(1).write.mode("append").json(path)
-    time.sleep(1.2)
-    heard = topics.subscribe(spark, path, "alerts.", start="new")
-    rows(2).write.mode("append").json(path)
-    query = heard.writeStream.format("memory").queryName("heard_new").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert [r["value"] for r in spark.table("heard_new").collect()] == ["2"]
+    path, out = str(tmp_path / "topics"), str(tmp_path / "out")
+    rows = lambda k: spark.createDataFrame([("alerts.x", str(k)), ("tracks.x", "other")], "topic string, value string")
+    publish = lambda k: rows(k).write.mode("append").json(path)
+
+    def listen():
+        heard = topics.subscribe(spark, path, "alerts.", start="new")
+        continuous.start_append(heard, out, f"{out}-c", **NOW).awaitTermination()
+        return sorted(r["value"] for r in spark.read.schema("topic string, value string").parquet(out).collect())
+
+    publish(1)
+    assert listen() == []
+    publish(2)
+    publish(3)
+    assert listen() == ["2", "3"]
+    publish(4)
+    assert listen() == ["2", "3", "4"] and listen() == ["2", "3", "4"]
+    late = topics.subscribe(spark, path, "alerts.", start="new", consumer="another/one")
+    continuous.start_append(late, f"{out}2", f"{out}2-c", **NOW).awaitTermination()
+    assert spark.read.schema("topic string, value string").parquet(f"{out}2").count() == 0
 
 
 def test_outbox_logs_what_was_sent(spark):
