@@ -45,9 +45,8 @@ def evaluate_detector(
     """
     df = scored(df, label, score)
     curve = roc_curve(df, label, score)
-    totals = df.agg(
-        F.struct(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    ).scalar()
+    last = lambda c: F.coalesce(F.max(c), F.lit(0))
+    totals = curve.agg(F.struct(last("tp").alias("p"), last("fp").alias("n"))).scalar()
     c = curve.withColumn("_t", totals)
     negatives = F.col("_t.n")
     gap = F.abs(F.try_divide(F.col("fp"), negatives) - target_far)
@@ -242,12 +241,34 @@ def report(metrics: DataFrame) -> DataFrame:
 
 
 def compare_detectors(df: DataFrame, thresholds: dict[str, float], label: str = "label") -> DataFrame:
-    """AUC, precision, recall and F1 of several score columns, each at its own threshold."""
-    out = None
-    for name, at in thresholds.items():
-        area = evaluate_detector(df, label, name).select("auc_roc").scalar()
-        row = confusion(df, at, label, name).select(
-            F.lit(name).alias("detector"), area.alias("auc_roc"), "precision", "recall", F.col("f1").alias("f1_score")
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    """AUC, precision, recall and F1 of several score columns, each at its own threshold.
+
+    Scores are unpivoted and counted per detector and value in one pass over
+    the table; all curves come from one sort of these counts.
+    """
+    each = F.array(*[F.struct(F.lit(n).alias("detector"), F.lit(float(at)).alias("at"), F.col(n).cast("double").alias("score")) for n, at in thresholds.items()])
+    long = df.select(F.col(label).alias("label"), F.explode(each).alias("d")).select("label", "d.*")
+    points = scored(long, "label", "score").groupBy("detector", "at", "score").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")
+    )
+    curve = ordered.prefix_sums(points, "score", ["pos", "neg"], descending=True, keys=["detector"])
+    hit = F.col("score") >= F.col("at")
+    none = F.lit(0).cast("long")
+    found = curve.groupBy("detector").agg(
+        F.sum("pos").alias("p"),
+        F.sum("neg").alias("n"),
+        # area by trapezoids: ties between classes count half
+        F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2)).alias("area"),
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
+    )
+    names = df.sparkSession.createDataFrame([(n,) for n in thresholds], "detector string")
+    d = names.join(found, "detector", "left").withColumns({c: F.coalesce(c, none) for c in ("p", "n", "tp", "fp")})
+    p, n, tp, fp = (F.col(c) for c in ("p", "n", "tp", "fp"))
+    return d.select(
+        "detector",
+        F.when((p > 0) & (n > 0), F.col("area") / (p * n)).alias("auc_roc"),
+        _ratio(tp, tp + fp).alias("precision"),
+        _ratio(tp, p).alias("recall"),
+        _ratio(2 * tp, tp + fp + p).alias("f1_score"),
+    )

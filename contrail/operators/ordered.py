@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contrail.session import materialize
+
 HOUR = 3600
 
 
@@ -123,32 +125,26 @@ def segments(
     )
 
 
-def prefix_sums(df: DataFrame, order: str, columns: list[str], descending: bool = False, buckets: int = 64) -> DataFrame:
-    """Running totals over the whole table in the order of one distinct numeric column.
+def prefix_sums(df: DataFrame, order: str, columns: list[str], descending: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """Running totals in the order of one numeric column, distinct per key; over the whole table without ``keys``.
 
-    Rows go to ``buckets`` ranges cut at quantiles; each range is summed on its
-    own and offset by the totals of the ranges before it. No task sees the
-    whole table; the driver sees none of it. Adds ``cum_<column>``.
+    One range sort deals the table out in order, as many ranges as the session
+    has shuffle partitions, and is written once. Each range is summed on its own and offset by the
+    totals of the key's ranges before it. No task sees the whole table or a
+    whole key; the driver sees none of it. Adds ``cum_<column>``.
     """
+    keys = list(keys or [])
     key = -F.col(order) if descending else F.col(order)
-    d = df.withColumn("_k", key.cast("double"))
-    points = [i / buckets for i in range(1, buckets)]
-    cuts = d.agg(F.percentile_approx("_k", points, 10000)).scalar()
-    d = d.withColumn("_cuts", cuts)
-    d = d.withColumn("_b", F.size(F.filter("_cuts", lambda cut: cut < F.col("_k")))).drop("_cuts")
-    totals = (
-        d.groupBy("_b")
-        .agg(*[F.sum(c).alias(c) for c in columns])
-        .agg(F.collect_list(F.struct("_b", *columns)))  # one struct per bucket, at most ``buckets``
-        .scalar()
-    )
-    d = d.withColumn("_totals", totals)
-    d = d.withColumn("_before", F.filter("_totals", lambda s: s["_b"] < F.col("_b"))).drop("_totals")
-    w = Window.partitionBy("_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    for c in columns:
-        earlier = F.expr(f"aggregate(_before, 0D, (acc, s) -> acc + double(s.{c}))")
-        d = d.withColumn(f"cum_{c}", F.sum(F.col(c).cast("double")).over(w) + earlier)
-    return d.drop("_k", "_b", "_before")
+    d = df.withColumn("_k", key.cast("double")).repartitionByRange(*keys, "_k").withColumn("_b", F.spark_partition_id())
+    d = materialize(df.sparkSession, d, "ranges")
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy(*keys, "_b").agg(*[F.sum(F.col(c).cast("double")).alias(f"_s_{c}") for c in columns])
+    # a row per key and range: the key's ranges only are ordered
+    before = totals.select(*keys, "_b", *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0.0)).alias(f"_s_{c}") for c in columns])
+    w = Window.partitionBy(*keys, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.join(before, [*keys, "_b"])
+    d = d.withColumns({f"cum_{c}": F.sum(F.col(c).cast("double")).over(w) + F.col(f"_s_{c}") for c in columns})
+    return d.drop("_k", "_b", *[f"_s_{c}" for c in columns])
 
 
 def row_frame_means(
@@ -212,7 +208,7 @@ def exact_quantiles(df: DataFrame, column: str, quantiles: dict[str, float]) ->
         F.count("*").alias("_n")
     )
     ranked = prefix_sums(counts, "_v", ["_n"])
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    total = ranked.agg(F.coalesce(F.max("cum__n"), F.lit(0))).scalar()
     aggs = []
     for i, q in enumerate(quantiles.values()):
         place = F.lit(q) * (F.col("_total") - 1)

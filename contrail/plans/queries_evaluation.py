@@ -149,21 +149,29 @@ def classifier_metrics(spark, sf):
 
 def detector_sql(name: str, score: str, at: float) -> str:
     return f"""SELECT '{name}' AS detector, {R(f'''(SELECT sum(a.k) / (count(*)) FROM (SELECT CASE WHEN x.s > y.s THEN 1.0::DOUBLE
-      WHEN x.s = y.s THEN 0.5 ELSE 0 END AS k FROM (SELECT {score} AS s FROM d WHERE label = 1) x,
-      (SELECT {score} AS s FROM d WHERE label <> 1) y) a)''', 8)} AS auc_roc,
+      WHEN x.s = y.s THEN 0.5 ELSE 0 END AS k FROM (SELECT {score} AS s FROM d WHERE label = 1 AND {score} IS NOT NULL AND NOT isnan({score})) x,
+      (SELECT {score} AS s FROM d WHERE label <> 1 AND {score} IS NOT NULL AND NOT isnan({score})) y) a)''', 8)} AS auc_roc,
     {R(f'coalesce(count(*) FILTER ({score} >= {at} AND label = 1) / nullif(count(*) FILTER ({score} >= {at}), 0), 0)', 8)} AS "precision",
     {R(f'coalesce(count(*) FILTER ({score} >= {at} AND label = 1) / nullif(count(*) FILTER (label = 1), 0), 0)', 8)} AS recall,
     {R(f'coalesce(2 * count(*) FILTER ({score} >= {at} AND label = 1) / nullif(count(*) FILTER ({score} >= {at}) + count(*) FILTER (label = 1), 0), 0)', 8)} AS f1_score
-    FROM d"""
+    FROM d WHERE {score} IS NOT NULL AND NOT isnan({score}) AND label IS NOT NULL"""
+
+
+#: Some scores are missing, some no numbers, some rows without a label.
+HOLES = {"score": "CASE WHEN doc_id % 17 = 0 THEN 'nan'::DOUBLE WHEN doc_id % 19 <> 0 THEN score END", "label": "CASE WHEN doc_id % 23 <> 0 THEN label END"}
 
 
 @register(
     "detector_comparison",
-    f"""{DOCS} {detector_sql('rule_score', '(toxic * 0.5::DOUBLE)', 0.25)} UNION ALL {detector_sql('ml_score', 'score', 0.5)}
+    f"""{DOCS.replace("WITH d AS", "WITH whole AS")}, d AS (SELECT * REPLACE ({', '.join(f'{v} AS {k}' for k, v in HOLES.items())}) FROM whole)
+    {detector_sql('rule_score', '(toxic * 0.5::DOUBLE)', 0.25)} UNION ALL {detector_sql('ml_score', 'score', 0.5)}
     UNION ALL {detector_sql('ensemble', '(0.4::DOUBLE * toxic * 0.5::DOUBLE + 0.6::DOUBLE * score)', 0.4)}""",
 )
 def detector_comparison(spark, sf):
-    d = scored_docs(spark, sf).withColumns({"rule_score": F.col("toxic") * 0.5, "ml_score": F.col("score")})
+    i = F.col("doc_id")
+    holes = {"score": F.when(i % 17 == 0, float("nan")).when(i % 19 != 0, F.col("score")), "label": F.when(i % 23 != 0, F.col("label"))}
+    d = scored_docs(spark, sf).withColumns(holes)
+    d = d.withColumns({"rule_score": F.col("toxic") * 0.5, "ml_score": F.col("score")})
     d = d.withColumn("ensemble", F.lit(0.4) * F.col("toxic") * 0.5 + F.lit(0.6) * F.col("score"))
     out = evaluate.compare_detectors(d, {"rule_score": 0.25, "ml_score": 0.5, "ensemble": 0.4})
     return out.withColumns({c: r(c, 8) for c in ("auc_roc", "precision", "recall", "f1_score")})

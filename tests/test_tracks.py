@@ -174,9 +174,9 @@ def test_one_aircraft_with_a_third_of_all_rows_is_spread(spark):
 
 def test_prefix_sums(spark):
     d = spark.range(1000).select((F.col("id") * 7919 % 1000).cast("double").alias("x"), F.lit(2).alias("n"))
-    got = ordered.prefix_sums(d, "x", ["n"], buckets=8).collect()
+    got = ordered.prefix_sums(d, "x", ["n"]).collect()
     assert all(r["cum_n"] == 2 * (r["x"] + 1) for r in got)
-    got = ordered.prefix_sums(d, "x", ["n"], descending=True, buckets=8).collect()
+    got = ordered.prefix_sums(d, "x", ["n"], descending=True).collect()
     assert all(r["cum_n"] == 2 * (1000 - r["x"]) for r in got)
 
 
