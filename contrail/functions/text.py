@@ -60,8 +60,29 @@ EMERGENCY_CODES = ("7500", "7600", "7700")
 UNICODE = "(?U)"
 
 
+#: What a text must hold for a pattern to match at all: one of these words, or a digit.
+NEEDED = {
+    "runway": ("RUNWAY", "RWY"), "flight_level": ("LEVEL",), "altitude_thousand": ("THOUSAND",), "altitude_feet": ("FEET", "FT"),
+    "heading": ("HEADING",), "squawk": ("SQUAWK",), "speed": ("KNOTS",), "cleared": ("CLEARED",), "turn": ("TURN",),
+    "contact": ("CONTACT",), "airline_callsign": (), "n_number": (), "frequency": (),
+}
+
+
+def _possible(text: Column, words: tuple[str, ...]) -> Column:
+    """A plain search before the pattern, which looks at every word boundary of a text of any script."""
+    if not words:
+        return text.rlike("[0-9]")
+    found = F.contains(text, F.lit(words[0]))
+    for word in words[1:]:
+        found = found | F.contains(text, F.lit(word))
+    return found
+
+
 def _all(text: Column, name: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(UNICODE + PATTERNS[name].replace(r"\d", "[0-9]")), F.lit(group))
+    found = F.regexp_extract_all(text, F.lit(UNICODE + PATTERNS[name].replace(r"\d", "[0-9]")), F.lit(group))
+    if name not in NEEDED:
+        return found
+    return F.when(~_possible(text, NEEDED[name]), F.array().cast("array<string>")).otherwise(found)
 
 
 def _ints(values: Column) -> Column:
@@ -71,17 +92,17 @@ def _ints(values: Column) -> Column:
 def normalize_atc(text: Column) -> Column:
     """Upper case, spelled letters and digits replaced by themselves.
 
-    No replacement yields a word of either table, so the order of the
-    replacements does not matter. One walk over the table; only the words whose
-    letters occur in a text at all are looked for as words.
+    One pass cuts a text into words and what is between them, and each word is
+    looked up. Texts without any of the words are left as they are.
     """
-    table = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(s).alias("symbol")) for w, s in {**PHONETIC, **DIGITS}.items()])
-
-    def put(out: Column, entry: Column) -> Column:
-        pattern = F.concat(F.lit(UNICODE + r"\b"), entry["word"], F.lit(r"\b"))
-        return F.when(F.contains(out, entry["word"]), F.regexp_replace(out, pattern, entry["symbol"])).otherwise(out)
-
-    return F.aggregate(table, F.upper(text), put)
+    table = {**PHONETIC, **DIGITS}
+    symbols = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    upper = F.upper(text)
+    parts = F.regexp_extract_all(upper, F.lit(UNICODE + r"\w+|\W+"), F.lit(0))
+    # all words of the table have three to eight letters
+    put = lambda part: F.when(F.octet_length(part).between(3, 8), F.coalesce(F.try_element_at(symbols, part), part)).otherwise(part)
+    spelled = F.array_join(F.transform(parts, put), "")
+    return F.when(upper.rlike(UNICODE + r"\b(?:" + "|".join(table) + r")\b"), spelled).otherwise(upper)
 
 
 def callsigns(normalized: Column, upper: Column) -> Column:
@@ -93,11 +114,12 @@ def callsigns(normalized: Column, upper: Column) -> Column:
     # airline names are read before normalisation, which would turn DELTA into D
     name = UNICODE + r"\b(" + "|".join(AIRLINES) + r")\s*([0-9]{1,4}[A-Z]?)\b"
     code = F.create_map(*[F.lit(x) for pair in AIRLINES.items() for x in pair])
-    by_name = F.zip_with(
+    said = F.zip_with(
         F.regexp_extract_all(upper, F.lit(name), F.lit(1)),
         F.regexp_extract_all(upper, F.lit(name), F.lit(2)),
         lambda airline, number: F.concat(F.element_at(code, airline), number),
     )
+    by_name = F.when(~_possible(upper, ()), F.array().cast("array<string>")).otherwise(said)
     return F.array_distinct(F.concat(codes, tails, by_name))
 
 
@@ -143,7 +165,7 @@ def instructions(upper: Column) -> Column:
     """Clearances, turns, contacts and commands, in that order, duplicates kept."""
     prefixed = lambda word, found: F.transform(found, lambda v: F.concat(F.lit(f"{word} "), v))
     commands = [
-        F.when(upper.rlike(rf"{UNICODE}\b{c}\b"), F.array(F.lit(c))).otherwise(F.array().cast("array<string>")) for c in COMMANDS
+        F.when(F.contains(upper, F.lit(c)) & upper.rlike(rf"{UNICODE}\b{c}\b"), F.array(F.lit(c))).otherwise(F.array().cast("array<string>")) for c in COMMANDS
     ]
     return F.concat(
         prefixed("CLEARED", _all(upper, "cleared")),
