@@ -141,15 +141,27 @@ def _fill() -> None:
 
 _fill()
 
-_COPYRIGHT = "^[^a-z0-9]*(copyright|\\(c\\)|©|all rights reserved).*$"
+# A line is a copyright notice by how it begins, unless it goes on as the running text of a license does where a line
+# happens to break before "copyright". Neither pattern looks ahead, so both engines read them alike.
+_NOTICE = "^[^a-z0-9]*(copyright([^a-z0-9].*)?|\\(c\\)[^a-z0-9]*[0-9]{4}.*|©.*|all rights reserved.*)$"
+_RUNNING = (
+    "^[^a-z0-9]*copyright([^a-z0-9]*$|[^a-z0-9]+((holder|notice|owner|law|licen[cs]e|interest|statement|disclaimer|doctrine)s?|ownership|and|or|patent"
+    "|the (software|library|program)|resulting|line|permission|of|on|in|is|are|if|to|those|treaty)([^a-z0-9].*)?$)"
+)
 _MARKS = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"
 
 
 def canonical_line(line: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), _COPYRIGHT, ""), _MARKS, " "))
+    lower = F.lower(line)
+    kept = F.when(lower.rlike(_NOTICE) & ~lower.rlike(_RUNNING), "").otherwise(lower)
+    return F.trim(F.regexp_replace(kept, _MARKS, " "))
+
+
+def spelled(text: Column) -> Column:
+    """Equivalent spellings made one; after lines are joined, as a phrase may go over a line's end."""
     for other, one in SPELLINGS.items():
-        plain = F.replace(plain, F.lit(other), F.lit(one))
-    return plain
+        text = F.replace(text, F.lit(other), F.lit(one))
+    return text
 
 
 def canonical_lines(text: Column) -> Column:
@@ -157,7 +169,7 @@ def canonical_lines(text: Column) -> Column:
 
 
 def whole(lines: Column) -> Column:
-    return F.concat_ws(" ", F.filter(lines, lambda x: x != ""))
+    return spelled(F.concat_ws(" ", F.filter(lines, lambda x: x != "")))
 
 
 def scan(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
@@ -167,7 +179,7 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
         raise ValueError(f"at most {MOST_KNOWN} known texts are broadcast")
     texts = docs.sparkSession.createDataFrame(list(known.items()), "license_id string, text string")
     table = texts.select(F.sha2(whole(canonical_lines(F.col("text"))), 256).alias("digest"), "license_id")
-    units = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines")).select("doc_id", "lines", F.posexplode(F.concat(F.array(whole(F.col("lines"))), F.col("lines"))).alias("line", "unit"))
+    units = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines")).select("doc_id", "lines", F.posexplode(F.concat(F.array(whole(F.col("lines"))), F.transform("lines", spelled))).alias("line", "unit"))
     units = units.where((F.col("unit") != "") & ((F.col("line") == 0) | (F.size("lines") > 1)))
     hits = units.select("doc_id", "line", F.sha2("unit", 256).alias("digest")).join(F.broadcast(table), "digest")
     return hits.select("doc_id", "license_id", F.expr("nullif(line, 0)").cast("long").alias("line"), "digest")
@@ -176,18 +188,24 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
 def oracle(known: dict[str, str] | None = None) -> str:
     """The same in DuckDB SQL over ``documents``."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    line = f"trim(regexp_replace(regexp_replace(lower(x), {quote(_COPYRIGHT)}, ''), {quote(_MARKS)}, ' ', 'g'))"
-    for other, one in SPELLINGS.items():
-        line = f"replace({line}, {quote(other)}, {quote(one)})"
+    low = "lower(x)"
+    notice = f"regexp_matches({low}, {quote(_NOTICE)}) AND NOT regexp_matches({low}, {quote(_RUNNING)})"
+    line = f"trim(regexp_replace(CASE WHEN {notice} THEN '' ELSE {low} END, {quote(_MARKS)}, ' ', 'g'))"
+
+    def one_spelling(text: str) -> str:
+        for other, one in SPELLINGS.items():
+            text = f"replace({text}, {quote(other)}, {quote(one)})"
+        return text
+
     lines = f"list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {line})"
-    whole_ = "array_to_string(list_filter(lines, lambda x: x <> ''), ' ')"
+    whole_ = one_spelling("array_to_string(list_filter(lines, lambda x: x <> ''), ' ')")
     rows = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in (KNOWN if known is None else known).items())
     return f"""
     WITH known AS (SELECT license_id, sha256({whole_}) AS digest
         FROM (SELECT license_id, {lines} AS lines FROM (VALUES {rows}) AS v(license_id, text))),
     d AS (SELECT doc_id, {lines} AS lines FROM documents),
     u AS (SELECT doc_id, 0 AS line, {whole_} AS unit FROM d
-        UNION ALL SELECT doc_id, line, lines[line] FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS line FROM d WHERE len(lines) > 1))
+        UNION ALL SELECT doc_id, line, {one_spelling('lines[line]')} FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS line FROM d WHERE len(lines) > 1))
     SELECT doc_id, license_id, nullif(line, 0)::BIGINT AS line, digest
     FROM (SELECT doc_id, line, sha256(unit) AS digest FROM u WHERE unit <> '') JOIN known USING (digest)
     """

@@ -2,6 +2,8 @@
 
 import collections
 import math
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -308,6 +310,28 @@ def test_licenses(spark, nothing):
         licenses.scan(docs, {str(k): "x" for k in range(licenses.MOST_KNOWN + 1)})
 
 
+def test_licenses_at_every_width(spark):
+    """Shipped texts wrapped anew at any width are found, wherever a line then begins."""
+    rows = []
+    for name, text in licenses.KNOWN.items():
+        if len(text) > 400:
+            parts = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
+            rows += [(f"{name} {width}", "\n\n".join(textwrap.fill(p, width) for p in parts)) for width in range(50, 101)]
+    assert len(rows) > 51 * 20
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(8)
+    found = {(r["doc_id"].split(" ")[0], r["doc_id"]) for r in licenses.scan(docs).where("line IS NULL").collect() if r["license_id"] == r["doc_id"].split(" ")[0]}
+    assert {i for i, _ in rows} == {i for _, i in found}
+
+
+def test_notices_and_running_text(spark):
+    mit = licenses.KNOWN["MIT"]
+    texts = [f"{n}\n{mit}" for n in ("Copyright (c) 2020 A. Body", "Copyright Jane Doe", "(c) 1999 B", "© C", "Copyright 2001-2004 D\nAll rights reserved.")]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("license_id = 'MIT' AND line IS NULL")
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(len(texts)))
+    kept = spark.createDataFrame([(x,) for x in ("copyright holders be liable", "COPYRIGHT", "(c) You must retain", "Copyright notice", "copyright and related")], "x string")
+    assert all(r[0] for r in kept.select(licenses.canonical_line(F.col("x"))).collect())
+
+
 def test_common_licenses(spark):
     """What the production table covers: full texts in wide use, notices and identifier lines, each by one digest."""
     known = spark.createDataFrame(list(licenses.KNOWN.items()), "doc_id string, text string")
