@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from contrail.llm.components import components
 from contrail.session import discard, materialize
 
 RUN, BLOCK, SHARD = 32, 256, 1024
+#: Bits of the bitmap that tells which texts a class needs (4 MB).
+MARKS = 1 << 25
 NO_ID = -(1 << 63)
 
 
@@ -128,13 +131,26 @@ def _file(gram: int, percent: int):
     return run
 
 
-def _tokens(gram: int):
+def _marks(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of ``MARKS`` bits of the text hashes in ``wanted``: few enough words for the driver whatever the corpus."""
+    bit = F.expr("shiftleft(1L, int(pmod(th, 64)))").alias("bit")
+    words = wanted.select(F.floor(F.pmod("th", F.lit(MARKS)) / 64).alias("word"), bit).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(MARKS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bit").to_numpy()
+    return out
+
+
+def _tokens(gram: int, marks: Broadcast):
+    """Token sets of the rows whose text hash is marked; unmarked texts are no class's, and some marked are not either."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            th = batch.column("th").to_numpy()
+            batch = batch.filter(pa.array((marks.value[th % MARKS >> 6] >> (th & 63)) & 1 == 1))
             for texts in stretches(batch):
                 value, bounds = sets(Words(texts, lower=True), gram)
-                columns = [batch.column(c).slice(texts.first, texts.rows) for c in ("cid", "slots")]
-                yield pa.RecordBatch.from_arrays([*columns, list_column(bounds, signed(value))], ["cid", "slots", "tokens"])
+                columns = [batch.column(c).slice(texts.first, texts.rows) for c in ("id", "th")]
+                yield pa.RecordBatch.from_arrays([*columns, list_column(bounds, signed(value))], ["id", "th", "tokens"])
 
     return run
 
@@ -241,11 +257,11 @@ def classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFrame:
     rows = docs.mapInArrow(_file(gram, percent), f"doc_id {kind}, id long, th long, n long, cid long, sig array<long>")
     all_ = materialize(spark, rows, "filed")
     rows = materialize(spark, all_.drop("sig"), "rows")
-    filed = all_.where("n > 0").select("cid", F.explode("sig").alias("sig"))
+    # dealt out once: both the digests that several classes hold and the classes that hold them are found from one shuffle
+    filed = all_.where("n > 0").select("cid", F.explode("sig").alias("sig")).repartition("sig")
     shared = filed.groupBy("sig").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
-    shared = materialize(spark, shared.select("sig", "low"), "shared")
-    near = materialize(spark, filed.join(shared, "sig").distinct(), "near")
-    discard(shared, all_)
+    near = materialize(spark, filed.join(shared.select("sig", "low"), "sig").distinct(), "near")
+    discard(all_)
     home = materialize(spark, near.groupBy("cid").agg(F.min("low").alias("home")), "home")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     slot = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n)).cast("int")
@@ -263,10 +279,12 @@ def classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFrame:
     slots = members.unionByName(queries).groupBy("cid").agg(F.collect_list(F.struct("home", "block", "shard", "asks")).alias("slots"))
     one = rows.where("n > 0").join(slots.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("id", "th")).alias("r"))
     one = materialize(spark, one.join(slots, "cid").select("cid", "slots", F.col("r.id").alias("id"), F.col("r.th").alias("th")), "slots")
+    # texts are read again where they lie; only the token sets of marked ones move
+    marks = spark.sparkContext.broadcast(_marks(one))
+    found = docs.select("id", "th", "text").mapInArrow(_tokens(gram, marks), "id long, th long, tokens array<long>")
     # repeated rows of one id and text count once; they stand together after the join already
-    texts = docs.join(one, ["id", "th"]).dropDuplicates(["id", "th"]).select("cid", "slots", "text")
-    kinds = "cid long, slots array<struct<home:long,block:int,shard:int,asks:int>>, tokens array<long>"
-    tokens = materialize(spark, texts.mapInArrow(_tokens(gram), kinds), "tokens")
+    tokens = found.join(one, ["id", "th"]).dropDuplicates(["id", "th"]).select("cid", "slots", "tokens")
+    tokens = materialize(spark, tokens, "tokens")
     work = tokens.select("cid", "tokens", F.explode("slots").alias("s")).select("s.*", "cid", "tokens")
     work = work.repartition("home", "block", "shard").sortWithinPartitions("home", "block", "shard", "asks")
     links = work.mapInArrow(_links(percent), "a long, b long")
