@@ -155,3 +155,16 @@ def test_rows_without_score_count_nowhere(spark):
     clean = spark.createDataFrame([(1, 0.9), (0, 0.2)], "label int, score double")
     assert evaluate.evaluate_detector(d).collect() == evaluate.evaluate_detector(clean).collect()
     assert evaluate.confusion(d, 0.5).collect() == evaluate.confusion(clean, 0.5).collect()
+
+
+def test_detectors_in_one_pass(spark, tmp_path):
+    """Curves per detector equal those made one by one; missing scores, and a detector without any, have defined rows."""
+    rng = random.Random(9)
+    rows = [(rng.choice([0, 1, 1, None]), rng.choice([None, float("nan"), rng.random(), 0.5]), round(rng.random(), 1), None) for _ in range(500)]
+    d = spark.createDataFrame(rows, "label int, a double, b double, never double")
+    got = {r["detector"]: r for r in evaluate.compare_detectors(d, {"a": 0.4, "b": 0.7, "never": 0.5}).collect()}
+    for name, at in (("a", 0.4), ("b", 0.7)):
+        one = evaluate.confusion(d, at, "label", name).first()
+        assert [got[name][c] for c in ("precision", "recall", "f1_score")] == pytest.approx([one[c] for c in ("precision", "recall", "f1")])
+        assert got[name]["auc_roc"] == pytest.approx(evaluate.evaluate_detector(d, "label", name).first()["auc_roc"])
+    assert tuple(got["never"])[1:] == (None, 0.0, 0.0, 0.0)
