@@ -8,9 +8,10 @@ the same anchor at the same place.
 1. Anchors whose gram occurs once in the corpus are dropped.
 2. Anchors whose widest surroundings (all strings through them) occur twice are covered whole; one per surroundings
    goes on, with all whose surroundings are their own, as bytes of its context.
-3. Groups of at most ``GROUP`` contexts of one gram: their suffixes from the anchor are merge-sorted and neighbours'
-   common prefixes verified byte by byte; the common prefix of any two is the least between them, the common extension
-   to the left is again found by binary search (and verified), and together they tell which strings repeat.
+3. Groups of at most ``GROUP`` contexts of one gram: their suffixes from the anchor are merge-sorted, and so is what stands
+   before the anchors, read backward. Neighbours' common prefixes are verified byte by byte; intervals of common
+   prefixes are joined from the longest down, and only neighbours in the backward order are compared to the left, again
+   by binary search (and verified), so a group of n takes some n log n comparisons, not all pairs.
 4. Larger groups, exactly as well, without any task holding one: offsets of the string against the anchor are
    searched by bisection in three rounds. If what all strings of an offset interval span together occurs twice, all are
    repeats; if what they have in common occurs once, none is; else the interval is cut further. Counts are grouped by
@@ -23,6 +24,7 @@ other: all their bytes go, if there are enough. Rows without an id are rows like
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,13 +157,21 @@ class Suffixes:
     def common_left(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return self._verified(i, j, self._search(i, j, np.minimum(self.left[i], self.left[j]), True), True)
 
-    def _first(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether suffix i sorts before or with suffix j; a suffix sorts before its extensions."""
-        n = self.right(i, j)
-        ended_i, ended_j = self.left[i] + n >= self.size[i], self.left[j] + n >= self.size[j]
-        return ended_i | (~ended_j & (self.bytes[i, self.left[i] + n] <= self.bytes[j, self.left[j] + n]))
-
-    def sort(self) -> np.ndarray:
+    def _first(self, i: np.ndarray, j: np.ndarray, backward: bool) -> np.ndarray:
+        """Whether suffix i sorts before or with suffix j; a suffix sorts before its extensions. Backward: what stands
+        before the anchors, read from right to left."""
+        left_i, left_j = self.left[i], self.left[j]
+        if backward:
+            n = self._search(i, j, np.minimum(left_i, left_j), True)
+            ended_i, ended_j = n >= left_i, n >= left_j
+            at_i, at_j = np.maximum(left_i - 1 - n, 0), np.maximum(left_j - 1 - n, 0)
+        else:
+            n = self.right(i, j)
+            at_i, at_j = left_i + n, left_j + n
+            ended_i, ended_j = at_i >= self.size[i], at_j >= self.size[j]
+        return ended_i | (~ended_j & (self.bytes[i, at_i] <= self.bytes[j, at_j]))
+
+    def sort(self, backward: bool = False) -> np.ndarray:
         """Suffix numbers in order within each group (groups stand together): merge sort, all merges of a level in step."""
         order = np.arange(len(self.left))
         begin = np.searchsorted(self.group, self.group)
@@ -176,7 +186,7 @@ class Suffixes:
             while len(a):
                 take_a = a < end_a
                 both = take_a & (b < end_b)
-                take_a[both] = self._first(order[a[both]], order[b[both]])
+                take_a[both] = self._first(order[a[both]], order[b[both]], backward)
                 merged[to] = np.where(take_a, order[np.minimum(a, len(order) - 1)], order[np.minimum(b, len(order) - 1)])
                 a, b, to = a + take_a, b + ~take_a, to + 1
                 go = (a < end_a) | (b < end_b)
@@ -185,6 +195,40 @@ class Suffixes:
             width *= 2
         return order
 
+    def _neighbours(self, order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (i, j, r) of contexts that agree in r bytes to the right, among them, for every i and r, one j whose
+        agreement to the left is the longest of all that agree with i in r bytes.
+
+        Intervals of the sorted suffixes are joined from the longest common prefix down. Each keeps its contexts in
+        backward order, where the longest agreement to the left is with a neighbour; joining puts the smaller into the
+        larger, so a context is placed a logarithmic number of times.
+        """
+        rank = np.empty(len(order), np.int64)
+        rank[self.sort(backward=True)] = np.arange(len(order))
+        own = rank[order].tolist()
+        held: list[list[int]] = [[x] for x in own]
+        begin, end = list(range(len(own))), list(range(len(own)))  # told at an interval's ends: where it begins and ends
+        pairs: list[tuple[int, int, int]] = []
+        joints = np.flatnonzero(lcp > 0)
+        for at in joints[np.argsort(-lcp[joints], kind="stable")].tolist():
+            low, high, r = begin[at], end[at + 1], int(lcp[at])
+            large, small = held[low], held[at + 1]
+            if len(large) < len(small):
+                large, small = small, large
+            for x in small:
+                spot = bisect_left(large, x)
+                if spot:
+                    pairs.append((x, large[spot - 1], r))
+                if spot < len(large):
+                    pairs.append((x, large[spot], r))
+                large.insert(spot, x)
+            held[low], held[at + 1] = large, []
+            end[low], begin[high] = high, low
+        found = np.array(pairs, np.int64).reshape(-1, 3)
+        number = np.empty(len(order), np.int64)
+        number[rank] = np.arange(len(order))
+        return number[found[:, 0]], number[found[:, 1]], found[:, 2]
+
     def repeated(self, length: int) -> np.ndarray:
         """Which bytes of each context belong to a ``length``-byte string through the anchor that another context of its group holds too."""
         order = self.sort()
@@ -192,19 +236,12 @@ class Suffixes:
         i, j = order[:-1], order[1:]
         lcp = np.where(group[:-1] == group[1:], self._verified(i, j, self.right(i, j), False), 0)
         marks = np.zeros((len(order), self.bytes.shape[1] + 1), np.int32)
-        between = lcp
-        for apart in range(1, GROUP):
-            near = np.flatnonzero(between > 0)
-            if not len(near):
-                break
-            a, b, r = order[near], order[near + apart], between[near]
-            left = self.common_left(a, b)
-            hit = left + r >= length
-            for x in (a[hit], b[hit]):
-                np.add.at(marks, (x, self.left[x] - left[hit]), 1)
-                np.add.at(marks, (x, self.left[x] + r[hit]), -1)
-            # the common prefix of two suffixes one further apart: the least on the way
-            between = np.minimum(between[:-1], lcp[apart:]) if len(between) > 1 else between[:0]
+        a, b, r = self._neighbours(order, lcp)
+        left = self.common_left(a, b)
+        hit = left + r >= length
+        for x in (a[hit], b[hit]):
+            np.add.at(marks, (x, self.left[x] - left[hit]), 1)
+            np.add.at(marks, (x, self.left[x] + r[hit]), -1)
         return np.cumsum(marks, axis=1) > 0
 
 
@@ -216,8 +253,8 @@ def _small(length: int):
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         at = 0
         while at < len(new):
-            # whole groups, about two thousand contexts at once
-            stop = max(at + 1, int(np.searchsorted(new, new[at] + 2000)))
+            # whole groups, about four thousand contexts at once
+            stop = max(at + 1, int(np.searchsorted(new, new[at] + 4000)))
             low, high = int(new[at]), int(new[stop]) if stop < len(new) else len(key)
             at = stop
             part = rows.slice(low, high - low)

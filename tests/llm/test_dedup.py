@@ -4,6 +4,7 @@ import collections
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from contrail.llm import decontaminate, jaccard_join, recompression, suffix_sort, winnowing
@@ -78,8 +79,6 @@ def test_bytes(docs, group, monkeypatch):
 
 
 def test_suffix_order():
-    import pyarrow as pa
-
     rng = np.random.default_rng(0)
     contexts = [bytes(rng.integers(97, 99, int(rng.integers(5, 60))).astype(np.uint8)) for _ in range(80)]
     left = np.array([int(rng.integers(0, len(c))) for c in contexts])
@@ -230,3 +229,27 @@ def test_decontamination_of_repeated_shingles(spark):
         part = values[s : s + 9]
         number = np.array([(part[:i] == part[i]).sum() for i in range(9)])
         assert (got[s] == (decontaminate._signs(decontaminate._numbered(part, number)).sum(0) > 0)).all()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_suffix_groups_equal_all_pairs(seed):
+    """Bytes in strings that two contexts of a group hold at the same place of the anchor, by comparing all pairs."""
+    rng = np.random.default_rng(seed)
+    length, contexts, left, group = 6, [], [], []
+    for g, size in enumerate(rng.integers(1, 40, 12)):
+        for _ in range(size):
+            before, after = rng.integers(0, 2, rng.integers(0, 5)), rng.integers(0, 2, rng.integers(0, 5))
+            contexts.append(bytes(before.astype(np.uint8)) + b"\7\7" + bytes(after.astype(np.uint8)))
+            left.append(len(before))
+            group.append(g)
+    found = suffix_sort.Suffixes(pa.array(contexts, pa.binary()), np.array(left), np.array(group)).repeated(length)
+    expected = np.zeros_like(found)
+    for i in range(len(contexts)):
+        for j in range(len(contexts)):
+            if i == j or group[i] != group[j]:
+                continue
+            for k in range(length):
+                a, b = left[i] - k, left[j] - k
+                if a >= 0 and b >= 0 and a + length <= len(contexts[i]) and contexts[i][a : a + length] == contexts[j][b : b + length]:
+                    expected[i, a : a + length] = True
+    assert expected.any() and (found == expected).all()
