@@ -9,10 +9,13 @@ sequence as one). Rows with equal sets are one class, and classes are joined:
    fewer), so a passage that many documents share does not by itself make them candidates.
 2. Groups. A class's group is the smallest class it shares digests with, so similar documents stand together; large
    groups are cut into blocks by hash, and a block's queries into shards.
-3. The matrix. In a task, a block's members are lined up in runs of ``RUN`` sets; a run stores the union of its tokens
-   and which member holds which. A query's overlap with a union bounds its overlap with every member, so only runs whose
+3. Bounds. Each class carries a bitmap of two to four bits a token. A block's members are lined up in runs of ``RUN``
+   and a run stores the union of its bitmaps. A query's bits outside the union are tokens that no member has, which bounds its
+   overlap with every member; only runs whose bound reaches the threshold are opened, member by member. Token sets move only for
+   classes and blocks that are left.
+4. The matrix. The same with tokens: a run stores the union of its tokens and which member holds which; runs whose
    bound reaches the threshold are opened, and opening counts all exact overlaps at once.
-4. Links found in a task leave it as a spanning forest, never as all pairs, and components are rounds of joins.
+5. Links found in a task leave it as a spanning forest, never as all pairs, and components are rounds of joins.
 
 Nothing is lost: every pair that reaches the threshold meets in a task, or is connected there through others.
 
@@ -22,7 +25,7 @@ left out when a component's smallest id is taken. Extra columns are not looked a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +116,19 @@ def digests(value: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.nda
     return name[order], owner[order]
 
 
+def bitmaps(value: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Each set's bitmap: a power of two of 64-bit words, at least two bits a token; nothing for an empty set."""
+    size = np.diff(bounds)
+    words = np.where(size > 0, 2 ** np.ceil(np.log2(np.maximum(size / 32, 1))), 0).astype(np.int64)
+    cuts = np.r_[0, np.cumsum(words)]
+    owner = np.repeat(np.arange(len(size)), size)
+    bit = (mixed(value) & (64 * words[owner] - 1).astype(np.uint64)).astype(np.int64)
+    held = np.zeros(64 * cuts[-1], bool)
+    held[64 * cuts[owner] + bit] = True
+    data = np.packbits(held, bitorder="little").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((8 * cuts).astype(np.int32)), pa.py_buffer(data)])
+
+
 def _file(gram: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +142,8 @@ def _file(gram: int, percent: int):
                 name, of = digests(value, bounds, percent)
                 columns = [batch.column(c).slice(texts.first, texts.rows) for c in ("doc_id", "id", "th")]
                 columns += [pa.array(size.astype(np.int64)), pa.array(signed(cid)), list_column(np.searchsorted(of, np.arange(texts.rows + 1)), signed(name))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "th", "n", "cid", "sig"])
+                columns += [bitmaps(value, bounds)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "th", "n", "cid", "sig", "bits"])
 
     return run
 
@@ -155,6 +172,38 @@ def _tokens(gram: int, marks: Broadcast):
     return run
 
 
+def plausible(bits: list[np.ndarray], size: np.ndarray, cid: np.ndarray, split: int, percent: int) -> np.ndarray:
+    """Which rows, members up to ``split`` and queries from there on, may reach the threshold with one of the other side."""
+    keep = np.zeros(len(size), bool)
+    width = np.array([len(b) for b in bits])
+    side = np.arange(len(size)) >= split
+    for w in np.unique(width[:split]):
+        for v in np.unique(width[split:]):
+            line, asks = np.flatnonzero((width == w) & ~side), np.flatnonzero((width == v) & side)
+            if 100 * size[line].max() < percent * size[asks].min() or percent * size[line].min() > 100 * size[asks].max():
+                continue
+            least = min(w, v)  # a longer bitmap is folded: of positions modulo the shorter's length
+            line = line[np.argsort(size[line], kind="stable")]
+            m_bits, q_bits = (np.bitwise_or.reduce(np.stack([bits[k] for k in x]).reshape(len(x), -1, least), axis=1) for x in (line, asks))
+            for at in range(0, len(line), RUN):
+                run, held = line[at : at + RUN], m_bits[at : at + RUN]
+                union = np.bitwise_or.reduce(held, axis=0)
+                bound = size[asks] - np.bitwise_count(q_bits & ~union).sum(axis=1, dtype=np.int64)
+                low, high = size[run].min(), size[run].max()
+                go = (bound * (100 + percent) >= percent * (size[asks] + low)) & (100 * high >= percent * size[asks]) & (percent * low <= 100 * size[asks])
+                open_ = np.flatnonzero(go)
+                step = max(1, 1_000_000 // (len(run) * int(least)))
+                for part in (open_[k : k + step] for k in range(0, len(open_), step)):
+                    q, m = q_bits[part][:, None, :], held[None, :, :]
+                    more = size[asks[part]][:, None] - np.bitwise_count(q & ~m).sum(axis=2, dtype=np.int64)
+                    most = np.minimum(more, size[run][None, :] - np.bitwise_count(m & ~q).sum(axis=2, dtype=np.int64))
+                    hit = most * (100 + percent) >= percent * (size[asks[part]][:, None] + size[run][None, :])
+                    hit &= cid[asks[part]][:, None] != cid[run][None, :]
+                    keep[asks[part]] |= hit.any(axis=1)
+                    keep[run] |= hit.any(axis=0)
+    return keep
+
+
 def link(members: list[np.ndarray], queries: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Which queries and members (by number) reach the threshold. Token arrays are sorted and distinct."""
     size_m = np.array([len(m) for m in members])
@@ -208,21 +257,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _links(percent: int):
-    """Rows (a, b) from partitions sorted by (home, block, shard, asks): members first, then queries."""
-
-    def solve(rows: pa.Table) -> list[tuple[int, int]]:
-        rows = rows.combine_chunks()
-        cid, asks = rows.column("cid").to_numpy(), rows.column("asks").to_numpy()
-        lists = rows.column("tokens").chunk(0)
-        flat, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        sets_ = [flat[cuts[i] : cuts[i + 1]].view(np.uint64) for i in range(len(cid))]
-        split = int(np.searchsorted(asks, 1))
-        if not split or split == len(cid):
-            return []
-        q, m = link(sets_[:split], sets_[split:], percent)
-        a, b = cid[split:][q], cid[:split][m]
-        return _forest(a[a != b], b[a != b])
+def _tasks(solve: Callable[[pa.Table], pa.Table | None]):
+    """``solve`` applied to each whole (home, block, shard) of partitions sorted by these and ``asks``: members first, then queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -230,8 +266,10 @@ def _links(percent: int):
         def emit(table: pa.Table, to: int) -> Iterator[pa.RecordBatch]:
             keys = np.stack([table.column(c).to_numpy() for c in ("home", "block", "shard")], 1)[:to]
             cut = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1), True]) if to else np.zeros(1, np.int64)
-            pairs = [p for x, y in zip(cut[:-1], np.minimum(cut[1:], to), strict=True) for p in solve(table.slice(int(x), int(y - x)))]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+            parts = [solve(table.slice(int(x), int(y - x)).combine_chunks()) for x, y in zip(cut[:-1], np.minimum(cut[1:], to), strict=True)]
+            parts = [p for p in parts if p is not None and len(p)]
+            if parts:
+                yield from pa.concat_tables(parts).combine_chunks().to_batches()
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -247,6 +285,39 @@ def _links(percent: int):
     return run
 
 
+def _bounds(percent: int):
+    """Rows (cid, home, block, shard, asks) that may be linked there."""
+
+    def solve(rows: pa.Table) -> pa.Table | None:
+        split = int(np.searchsorted(rows.column("asks").to_numpy(), 1))
+        if not split or split == len(rows):
+            return None
+        bits = [np.frombuffer(b.as_buffer(), np.uint64) for b in rows.column("bits").chunk(0)]
+        keep = plausible(bits, rows.column("n").to_numpy(), rows.column("cid").to_numpy(), split, percent)
+        return rows.select(["cid", "home", "block", "shard", "asks"]).filter(pa.array(keep))
+
+    return _tasks(solve)
+
+
+def _links(percent: int):
+    """Rows (a, b): linked classes."""
+
+    def solve(rows: pa.Table) -> pa.Table | None:
+        cid, asks = rows.column("cid").to_numpy(), rows.column("asks").to_numpy()
+        lists = rows.column("tokens").chunk(0)
+        flat, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        sets_ = [flat[cuts[i] : cuts[i + 1]].view(np.uint64) for i in range(len(cid))]
+        split = int(np.searchsorted(asks, 1))
+        if not split or split == len(cid):
+            return None
+        q, m = link(sets_[:split], sets_[split:], percent)
+        a, b = cid[split:][q], cid[:split][m]
+        pairs = _forest(a[a != b], b[a != b])
+        return pa.table([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _tasks(solve)
+
+
 def classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, th (the text's hash), n_shingles, component_id, root (the
     component's key; null for empty sets)."""
@@ -254,7 +325,7 @@ def classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(_file(gram, percent), f"doc_id {kind}, id long, th long, n long, cid long, sig array<long>")
+    rows = docs.mapInArrow(_file(gram, percent), f"doc_id {kind}, id long, th long, n long, cid long, sig array<long>, bits binary")
     all_ = materialize(spark, rows, "filed")
     rows = materialize(spark, all_.drop("sig"), "rows")
     # dealt out once: both the digests that several classes hold and the classes that hold them are found from one shuffle
@@ -275,8 +346,15 @@ def classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFrame:
     load = asked.groupBy("home", "block").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
     members = placed.join(load, ["home", "block"]).withColumn("shard", spread("shards")).withColumn("asks", F.lit(0))
     queries = asked.join(load, ["home", "block"]).withColumn("shard", slot("shards", 2)).withColumn("asks", F.lit(1))
+    place = F.struct("home", "block", "shard", "asks")
+    slots = members.unionByName(queries).groupBy("cid").agg(F.collect_list(place).alias("slots"))
+    one = rows.where("n > 0").join(slots.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("id", "th", "n", "bits")).alias("r"))
+    dealt = lambda work: work.repartition("home", "block", "shard").sortWithinPartitions("home", "block", "shard", "asks")
+    asking = one.join(slots, "cid").select("cid", "r.n", "r.bits", F.explode("slots").alias("s")).select("s.*", "cid", "n", "bits")
+    left = dealt(asking).mapInArrow(_bounds(percent), "cid long, home long, block int, shard int, asks int")
+    left = materialize(spark, left, "left")
     # each class's places travel with its text, so its tokens are dealt out in one shuffle
-    slots = members.unionByName(queries).groupBy("cid").agg(F.collect_list(F.struct("home", "block", "shard", "asks")).alias("slots"))
+    slots = left.groupBy("cid").agg(F.collect_list(place).alias("slots"))
     one = rows.where("n > 0").join(slots.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("id", "th")).alias("r"))
     one = materialize(spark, one.join(slots, "cid").select("cid", "slots", F.col("r.id").alias("id"), F.col("r.th").alias("th")), "slots")
     # texts are read again where they lie; only the token sets of marked ones move
@@ -286,8 +364,7 @@ def classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFrame:
     tokens = found.join(one, ["id", "th"]).dropDuplicates(["id", "th"]).select("cid", "slots", "tokens")
     tokens = materialize(spark, tokens, "tokens")
     work = tokens.select("cid", "tokens", F.explode("slots").alias("s")).select("s.*", "cid", "tokens")
-    work = work.repartition("home", "block", "shard").sortWithinPartitions("home", "block", "shard", "asks")
-    links = work.mapInArrow(_links(percent), "a long, b long")
+    links = dealt(work).mapInArrow(_links(percent), "a long, b long")
     roots = components(materialize(spark, links, "links"))
 
     own = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))

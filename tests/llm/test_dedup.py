@@ -253,3 +253,30 @@ def test_suffix_groups_equal_all_pairs(seed):
                 if a >= 0 and b >= 0 and a + length <= len(contexts[i]) and contexts[i][a : a + length] == contexts[j][b : b + length]:
                     expected[i, a : a + length] = True
     assert expected.any() and (found == expected).all()
+
+
+@pytest.mark.parametrize("percent", [60, 90])
+def test_bitmaps_lose_no_link(percent):
+    """Every row with a partner on the other side is kept, and rows that share few tokens mostly are not."""
+    rng = np.random.default_rng(percent)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 1 << 63, int(rng.choice([1, 2, 20, 31, 33, 150, 700])), dtype=np.uint64)
+        for _ in range(3):
+            other = np.unique(np.r_[base[rng.random(len(base)) < 0.95], rng.integers(0, 1 << 63, len(base) // 25, dtype=np.uint64)])
+            sets.append(other if len(other) else np.unique(base))
+    order = rng.permutation(len(sets))
+    sets = [sets[k] for k in order]
+    cid, split = np.arange(len(sets)), 70
+    size = np.array([len(x) for x in sets])
+    maps = jaccard_join.bitmaps(np.concatenate(sets), np.r_[0, np.cumsum(size)])
+    bits = [np.frombuffer(b.as_buffer(), np.uint64) for b in maps]
+    keep = jaccard_join.plausible(bits, size, cid, split, percent)
+    linked = np.zeros(len(sets), bool)
+    for a in range(split):
+        for b in range(split, len(sets)):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= percent * (size[a] + size[b] - both):
+                linked[[a, b]] = True
+    assert linked.any() and not (linked & ~keep).any()
+    assert (keep & ~linked)[size > 20].mean() < 0.2
