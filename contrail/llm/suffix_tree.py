@@ -32,6 +32,8 @@ ORDER = 5
 END, GAP = 0x0A, 0x20  # white space, so no word holds them
 #: A word is common when it is at least this share of all tokens.
 COMMON = 1e-6
+#: Text bytes handled at once: a symbol takes some hundred bytes of arrays on the way.
+PIECE = 1 << 19
 
 
 def symbols(words: Words, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,18 +69,27 @@ def grams(out: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class _Counter:
-    """Counts of 64-bit keys, merged now and then so that memory follows the distinct keys."""
+    """Counts of 64-bit keys of one kind, merged now and then; what stays above half of ``most`` is sent on, so memory is bounded."""
 
-    def __init__(self):
+    def __init__(self, kind: int, most: int = 1_000_000):
+        self.kind, self.most = kind, most
         self.keys, self.counts, self.held = [], [], 0
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         key, count = np.unique(keys, return_counts=True)
         self.keys.append(key)
         self.counts.append(count)
         self.held += len(key)
-        if self.held > 3_000_000:
+        if self.held > self.most:
             self.merge()
+            if self.held > self.most // 2:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """What is held; a key may be sent several times."""
+        keys, counts = self.merge()
+        self.keys, self.counts, self.held = [], [], 0
+        yield from _blocks(self.kind, keys, counts)
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = np.concatenate(self.keys or [np.zeros(0, np.uint64)]), np.concatenate(self.counts or [np.zeros(0, np.int64)])
@@ -90,24 +101,27 @@ class _Counter:
         return keys[first], counts
 
 
+def _blocks(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(keys), 100_000):
+        k, c = keys[i : i + 100_000], counts[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(k), kind, np.int8)), pa.array(signed(k)), pa.array(c.astype(np.int64))], ["kind", "key", "n"]
+        )
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: the counts of words (kind 0), of contexts with their symbol (1), and of texts (2)."""
-    words_seen, grams_seen, texts_seen = _Counter(), _Counter(), 0
+    words_seen, grams_seen, texts_seen = _Counter(0), _Counter(1), 0
     for batch in batches:
-        for texts in stretches(batch):
+        for texts in stretches(batch, size=PIECE):
             words = Words(texts, lower=True)
             out, at, _ = symbols(words, texts.rows)
-            words_seen.add(words.hashes())
-            grams_seen.add(grams(out, at))
+            yield from words_seen.add(words.hashes())
+            yield from grams_seen.add(grams(out, at))
             texts_seen += texts.rows
-    blocks = [(0, *words_seen.merge()), (1, *grams_seen.merge())]
-    blocks.append((2, np.zeros(1, np.uint64), np.array([texts_seen])))
-    for kind, keys, counts in blocks:
-        for i in range(0, len(keys), 100_000):
-            k, c = keys[i : i + 100_000], counts[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(k), kind, np.int8)), pa.array(signed(k)), pa.array(c.astype(np.int64))], ["kind", "key", "n"]
-            )
+    yield from words_seen.rest()
+    yield from grams_seen.rest()
+    yield from _blocks(2, np.zeros(1, np.uint64), np.array([texts_seen]))
 
 
 class Tree:
@@ -237,7 +251,7 @@ def score(docs: DataFrame, train: DataFrame, key: str = "doc_id", least: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, known, gains = shared.value
         for batch in batches:
-            for texts in stretches(batch):
+            for texts in stretches(batch, size=PIECE):
                 words = Words(texts, lower=True)
                 out, at, owner = symbols(words, texts.rows)
                 logs = np.bincount(owner, tree.scores(out, at), texts.rows)
