@@ -31,6 +31,8 @@ BITS = 18
 BUCKETS = 1 << BITS
 GRAMS = (3, 5)
 PORTION = 2_000_000
+#: Text bytes handled at once: every byte begins two n-grams, each of several 64-bit numbers.
+PIECE = 1 << 17
 
 
 def features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +61,7 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for texts in stretches(batch):
+        for texts in stretches(batch, size=PIECE):
             bucket, owner = features(texts)
             key, count = np.unique(owner * BUCKETS + bucket, return_counts=True)
             cut = np.searchsorted(key, np.arange(texts.rows + 1) * BUCKETS).astype(np.int32)
@@ -162,7 +164,7 @@ def score(docs: DataFrame, weights: np.ndarray, output: str = "score") -> DataFr
         w = shared.value
         for batch in batches:
             scores = np.zeros(batch.num_rows)
-            for texts in stretches(batch):
+            for texts in stretches(batch, size=PIECE):
                 bucket, owner = features(texts)
                 total = np.bincount(owner, w[bucket], texts.rows)
                 logit = total / np.bincount(owner, minlength=texts.rows)
