@@ -1,6 +1,7 @@
 """Track points in keyed state: held until the watermark has passed them, then released with what their windows reach.
 
-State is a list of points per pane of one window length and group of aircraft. A message goes to its own pane and, as
+State is a list of blocks of points per pane of one window length and group of aircraft. A block holds up to ``BLOCK_ROWS``
+points as compressed Arrow bytes, so that a call into the store moves many of them. A message goes to its own pane and, as
 context, to the next, so a busy aircraft is spread over its panes as in the batch operator, and what a window reaches is in
 one pane. Event-time timers release the points that the watermark has passed, evict those that no later window reaches
 and, with ``idle``, those of aircraft silent for so long, and drop a pane once it is over. The input is not kept
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,13 +22,35 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from contrail.schemas import JSON_TIMES
 from contrail.streaming.stateful import needs_rocksdb
 
-COLUMNS = ["icao24", "t", "own", "arrival", "hash", "payload"]
-KINDS = [T.StringType(), T.LongType(), T.BooleanType(), T.LongType(), T.LongType(), T.StringType()]
-POINT = T.StructType([T.StructField(c, kind) for c, kind in zip(COLUMNS, KINDS, strict=True)])
+POINT = pa.schema(
+    [("icao24", pa.string()), ("t", pa.int64()), ("own", pa.bool_()), ("arrival", pa.int64()), ("hash", pa.int64()), ("payload", pa.string())]
+)
+BLOCK = T.StructType([T.StructField("points", T.BinaryType())])
+BLOCK_ROWS = 10_000
 #: Groups of aircraft that share a list. One list per aircraft would cost a call into the store for each.
 GROUPS = 64
 
 
+def to_blocks(points: pd.DataFrame) -> list[tuple[bytes]]:
+    table = pa.Table.from_pandas(points[POINT.names], POINT, preserve_index=False)
+    blocks = []
+    for at in range(0, len(table), BLOCK_ROWS):
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, POINT, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table.slice(at, BLOCK_ROWS))
+        blocks.append((out.getvalue().to_pybytes(),))
+    return blocks
+
+
+def from_blocks(blocks: Iterator[tuple[bytes]]) -> pd.DataFrame:
+    """The points in the order of aircraft, time, arrival and hash."""
+    tables = [pa.ipc.open_stream(pa.py_buffer(data)).read_all() for (data,) in blocks]
+    table = pa.concat_tables(tables) if tables else POINT.empty_table()
+    table = table.sort_by([(c, "ascending") for c in ("icao24", "t", "arrival", "hash")])
+    # numbers stay whole where an arrival is null
+    return table.to_pandas(integer_object_nulls=True)
+
+
 class PointsProcessor(StatefulProcessor):
     """Releases a pane's points in event time. Of points of one instant the later arrival wins (then the greater hash)."""
 
@@ -36,7 +60,7 @@ class PointsProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.points = handle.getListState("points", POINT)
+        self.points = handle.getListState("points", BLOCK)
         self.released = handle.getValueState("released", T.StructType([T.StructField("t", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -44,7 +68,7 @@ class PointsProcessor(StatefulProcessor):
         for pdf in rows:
             if pdf.empty:
                 continue
-            self.points.appendList(list(pdf[COLUMNS].itertuples(index=False, name=None)))
+            self.points.appendList(to_blocks(pdf))
             t = int(pdf["t"].min())
             first = t if first is None else min(first, t)
         if first is not None:
@@ -54,8 +78,7 @@ class PointsProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         done = self.released.get()[0] if self.released.exists() else -(1 << 62)
-        held = pd.DataFrame(self.points.get(), columns=COLUMNS).sort_values(["icao24", "t", "arrival", "hash"])
-        held = held.drop_duplicates(["icao24", "t"], keep="last")
+        held = from_blocks(self.points.get()).drop_duplicates(["icao24", "t"], keep="last")
         new = held["own"].to_numpy(bool) & (held["t"] > done).to_numpy() & (held["t"] <= passed).to_numpy()
         if new.any():
             # each aircraft's first released point, and what its window reaches
@@ -79,7 +102,7 @@ class PointsProcessor(StatefulProcessor):
             self.points.clear()
             self.released.clear()
             return
-        self.points.put(list(held[kept].itertuples(index=False, name=None)))
+        self.points.put(to_blocks(held[kept]))
         self.released.update((passed,))
         alarms = [end // 1000 + 1]
         if (later := times[waiting & held["own"]]).size:
