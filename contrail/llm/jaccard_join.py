@@ -6,9 +6,11 @@ sequence as one). Rows with equal sets are one class, and classes are joined:
 1. Candidates. Linked sets differ in at most ``d`` tokens, a number that their size band bounds, so of ``d + 1`` parts
    of the token space one holds the same tokens of both. Each class is filed under the digest of each part's tokens;
    only classes that share a digest can be linked. Parts hold several tokens (the less similarity is asked for, the
-   fewer), so a passage that many documents share does not by itself make them candidates.
+   fewer), so a passage that many documents share does not by itself make them candidates. There are some parts more, so that
+   linked sets agree in several; a class goes without that many of its digests less one, its empty parts and then the most
+   frequent. The rarest digest that two linked sets share is kept by both.
 2. Groups. A class's group is the smallest class it shares digests with, so similar documents stand together; large
-   groups are cut into blocks by hash, and a block's queries into shards.
+   groups are cut into blocks by hash, and a block's queries into shards. Of two blocks one asks the other.
 3. Bounds. Each class carries a bitmap of two to four bits a token. A block's members are lined up in runs of ``RUN``
    and a run stores the union of its bitmaps. A query's bits outside the union are tokens that no member has, which bounds its
    overlap with every member; only runs whose bound reaches the threshold are opened, member by member. Token sets move only for
@@ -30,7 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrail.llm.common import SECOND_BASE, WORD_BASE, Prefix, Words, list_column, mixed, signed, spans, stretches
@@ -80,15 +82,18 @@ def sets(words: Words, gram: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(owner, np.arange(len(count) + 1))
 
 
-def digests(value: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Part digests of all sets, and the set of each."""
+def digests(value: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part digests of all sets, the set of each, and how many of its band's digests that set may do without.
+
+    A digest's last four bits are those of its band; a set is filed in neighbouring bands.
+    """
     size = np.diff(bounds)
     most = int(size.max(initial=1))
     tops, parts, spare = bands(percent, most * 100 // percent + 1)
     own = np.searchsorted(tops, size)
     last = np.searchsorted(tops, size * 100 // percent)  # a larger partner may be in the next band
     weight = mixed(value * np.uint64(SECOND_BASE))
-    out, owners = [], []
+    out, owners, spares = [], [], []
     for step in range(int((last - own).max(initial=0)) + 1):
         pick = np.flatnonzero((own + step <= last) & (size > 0))
         if not len(pick):
@@ -107,13 +112,16 @@ def digests(value: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.nda
         empty = np.bincount(of[held == 0], minlength=len(pick))
         file = (held > 0) | (empty > spare[band])[of]
         name = mixed(total + (number * 4096 + band[of]).astype(np.uint64) * np.uint64(WORD_BASE))
+        name = (name & ~np.uint64(15)) | (band[of] & 15).astype(np.uint64)
+        free = np.where(empty > spare[band], 0, spare[band] - empty)
         out.append(name[file])
         owners.append(pick[of[file]])
+        spares.append(free[of[file]])
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    name, owner = np.concatenate(out), np.concatenate(owners)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    name, owner, free = np.concatenate(out), np.concatenate(owners), np.concatenate(spares)
     order = np.argsort(owner, kind="stable")
-    return name[order], owner[order]
+    return name[order], owner[order], free[order]
 
 
 def bitmaps(value: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -139,11 +147,13 @@ def _file(gram: int, percent: int):
                 total = np.zeros(texts.rows, np.uint64)
                 np.add.at(total, owner, mixed(value))
                 cid = mixed(total + size.astype(np.uint64) * np.uint64(WORD_BASE))
-                name, of = digests(value, bounds, percent)
+                name, of, free = digests(value, bounds, percent)
+                band = (name & np.uint64(15)).astype(np.int64)
+                new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (band[1:] != band[:-1])][: len(of)])
                 columns = [batch.column(c).slice(texts.first, texts.rows) for c in ("doc_id", "id", "th")]
                 columns += [pa.array(size.astype(np.int64)), pa.array(signed(cid)), list_column(np.searchsorted(of, np.arange(texts.rows + 1)), signed(name))]
-                columns += [bitmaps(value, bounds)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "th", "n", "cid", "sig", "bits"])
+                columns += [list_column(np.searchsorted(of[new], np.arange(texts.rows + 1)), (16 * free + band)[new]), bitmaps(value, bounds)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "th", "n", "cid", "sig", "free", "bits"])
 
     return run
 
@@ -325,13 +335,22 @@ def classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(_file(gram, percent), f"doc_id {kind}, id long, th long, n long, cid long, sig array<long>, bits binary")
+    rows = docs.mapInArrow(_file(gram, percent), f"doc_id {kind}, id long, th long, n long, cid long, sig array<long>, free array<long>, bits binary")
     all_ = materialize(spark, rows, "filed")
-    rows = materialize(spark, all_.drop("sig"), "rows")
+    rows = materialize(spark, all_.drop("sig", "free"), "rows")
     # dealt out once: both the digests that several classes hold and the classes that hold them are found from one shuffle
     filed = all_.where("n > 0").select("cid", F.explode("sig").alias("sig")).repartition("sig")
-    shared = filed.groupBy("sig").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
-    near = materialize(spark, filed.join(shared.select("sig", "low"), "sig").distinct(), "near")
+    several = (F.min("cid") < F.max("cid")).alias("several")
+    shared = filed.groupBy("sig").agg(several, F.count("*").alias("times")).where("several").select("sig", "times")
+    # a class goes without the most frequent digests of a band, as many as it may
+    band = F.col("sig").bitwiseAND(15).alias("band")
+    free = all_.select("cid", F.explode("free").alias("free")).select("cid", F.col("free").bitwiseAND(15).alias("band"), F.expr("shiftright(free, 4)").alias("free"))
+    free = free.groupBy("cid", "band").agg(F.first("free").alias("free"))
+    near = filed.join(shared, "sig").select("cid", band, "sig", "times").join(free, ["cid", "band"]).distinct()
+    rank = F.row_number().over(Window.partitionBy("cid", "band").orderBy(F.desc("times"), F.desc("sig")))
+    near = near.withColumn("rank", rank).where("rank > free").select("cid", "sig").repartition("sig")
+    shared = near.groupBy("sig").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
+    near = materialize(spark, near.join(shared.select("sig", "low"), "sig"), "near")
     discard(all_)
     home = materialize(spark, near.groupBy("cid").agg(F.min("low").alias("home")), "home")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -339,9 +358,11 @@ def classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFrame:
     blocks = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = home.join(blocks, "home").select("cid", "home", slot("blocks", 1).alias("block"))
     placed = materialize(spark, placed, "placed")
-    # a class asks the blocks that hold a class it shares a digest with, its own among them
-    places = near.join(placed, "cid").select("sig", "home", "block").distinct()
-    asked = materialize(spark, near.select("sig", "cid").join(places, "sig").select("cid", "home", "block").distinct(), "asked")
+    # a class asks the blocks that hold a class it shares a digest with, its own among them; of two blocks one asks the other
+    stands = near.join(placed, "cid").select("sig", "cid", F.struct("home", "block").alias("own"))
+    places = stands.select("sig", F.col("own").alias("place")).distinct()
+    asked = stands.join(places, "sig").where("place <= own").select("cid", "place.home", "place.block").distinct()
+    asked = materialize(spark, asked, "asked")
     discard(near)
     load = asked.groupBy("home", "block").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
     members = placed.join(load, ["home", "block"]).withColumn("shard", spread("shards")).withColumn("asks", F.lit(0))
