@@ -346,7 +346,8 @@ def classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFrame:
     band = F.col("sig").bitwiseAND(15).alias("band")
     free = all_.select("cid", F.explode("free").alias("free")).select("cid", F.col("free").bitwiseAND(15).alias("band"), F.expr("shiftright(free, 4)").alias("free"))
     free = free.groupBy("cid", "band").agg(F.first("free").alias("free"))
-    near = filed.join(shared, "sig").select("cid", band, "sig", "times").join(free, ["cid", "band"]).distinct()
+    # copies of a text are one row here, before a class's digests come together
+    near = filed.join(shared, "sig").distinct().select("cid", band, "sig", "times").join(free, ["cid", "band"])
     rank = F.row_number().over(Window.partitionBy("cid", "band").orderBy(F.desc("times"), F.desc("sig")))
     near = near.withColumn("rank", rank).where("rank > free").select("cid", "sig").repartition("sig")
     shared = near.groupBy("sig").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
