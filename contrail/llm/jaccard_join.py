@@ -137,27 +137,60 @@ def bitmaps(value: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((8 * cuts).astype(np.int32)), pa.py_buffer(data)])
 
 
+def _names(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each set's name; rows with equal sets are one class."""
+    size = np.diff(bounds)
+    total = np.zeros(len(size), np.uint64)
+    np.add.at(total, np.repeat(np.arange(len(size)), size), mixed(value))
+    return signed(mixed(total + size.astype(np.uint64) * np.uint64(WORD_BASE)))
+
+
+def _rows(gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in stretches(batch):
+                value, bounds = sets(Words(texts, lower=True), gram)
+                columns = [batch.column(c).slice(texts.first, texts.rows) for c in ("doc_id", "id", "th")]
+                columns += [pa.array(np.diff(bounds).astype(np.int64)), pa.array(_names(value, bounds)), bitmaps(value, bounds)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "th", "n", "cid", "bits"])
+
+    return run
+
+
 def _file(gram: int, percent: int):
+    """Per text its class, its digests, and for each of its bands (in order) how many of these it may do without."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in stretches(batch):
                 value, bounds = sets(Words(texts, lower=True), gram)
-                size = np.diff(bounds)
-                owner = np.repeat(np.arange(texts.rows), size)
-                total = np.zeros(texts.rows, np.uint64)
-                np.add.at(total, owner, mixed(value))
-                cid = mixed(total + size.astype(np.uint64) * np.uint64(WORD_BASE))
                 name, of, free = digests(value, bounds, percent)
                 band = (name & np.uint64(15)).astype(np.int64)
                 new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (band[1:] != band[:-1])][: len(of)])
-                columns = [batch.column(c).slice(texts.first, texts.rows) for c in ("doc_id", "id", "th")]
-                columns += [pa.array(size.astype(np.int64)), pa.array(signed(cid)), list_column(np.searchsorted(of, np.arange(texts.rows + 1)), signed(name))]
-                columns += [list_column(np.searchsorted(of[new], np.arange(texts.rows + 1)), (16 * free + band)[new]), bitmaps(value, bounds)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "th", "n", "cid", "sig", "free", "bits"])
+                columns = [pa.array(_names(value, bounds)), list_column(np.searchsorted(of, np.arange(texts.rows + 1)), signed(name))]
+                columns += [list_column(np.searchsorted(of[new], np.arange(texts.rows + 1)), (16 * free + band)[new])]
+                yield pa.RecordBatch.from_arrays(columns, ["cid", "sig", "free"])
 
     return run
 
 
+def _shared(docs: DataFrame, gram: int, percent: int) -> DataFrame:
+    """Rows (cid, sig, low): digests that several classes hold, and the smallest of these; every digest is shuffled once."""
+    filed = docs.select("text").mapInArrow(_file(gram, percent), "cid long, sig array<long>, free array<long>")
+    filed = filed.select("cid", "free", F.explode("sig").alias("sig"))
+    # a set's bands follow one another, so the first one's number says where another stands
+    free = F.expr("shiftright(free[int(pmod((sig & 15) - (free[0] & 15), 16))], 4)").alias("free")
+    same = Window.partitionBy("sig")
+    holders = [F.min("cid").over(same).alias("low"), F.max("cid").over(same).alias("high")]
+    filed = filed.select("cid", "sig", free).select("cid", "sig", "free", *holders, F.count("*").over(same).alias("times"))
+    # copies of a text are one row here, before a class's digests come together
+    near = filed.where("low < high").select("cid", "sig", "free", "times").distinct()
+    # a class goes without the most frequent digests of a band, as many as it may
+    rank = F.row_number().over(Window.partitionBy("cid", F.col("sig").bitwiseAND(15)).orderBy(F.desc("times"), F.desc("sig")))
+    near = near.withColumn("rank", rank).where("rank > free").select("cid", "sig", *holders)
+    return near.where("low < high").select("cid", "sig", "low")
+
+
 def _marks(wanted: DataFrame) -> np.ndarray:
     """A bitmap of ``MARKS`` bits of the text hashes in ``wanted``: few enough words for the driver whatever the corpus."""
     bit = F.expr("shiftleft(1L, int(pmod(th, 64)))").alias("bit")
@@ -335,24 +368,10 @@ def classes(docs: DataFrame, gram: int = 3, percent: int = 90) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(_file(gram, percent), f"doc_id {kind}, id long, th long, n long, cid long, sig array<long>, free array<long>, bits binary")
-    all_ = materialize(spark, rows, "filed")
-    rows = materialize(spark, all_.drop("sig", "free"), "rows")
-    # dealt out once: both the digests that several classes hold and the classes that hold them are found from one shuffle
-    filed = all_.where("n > 0").select("cid", F.explode("sig").alias("sig")).repartition("sig")
-    several = (F.min("cid") < F.max("cid")).alias("several")
-    shared = filed.groupBy("sig").agg(several, F.count("*").alias("times")).where("several").select("sig", "times")
-    # a class goes without the most frequent digests of a band, as many as it may
-    band = F.col("sig").bitwiseAND(15).alias("band")
-    free = all_.select("cid", F.explode("free").alias("free")).select("cid", F.col("free").bitwiseAND(15).alias("band"), F.expr("shiftright(free, 4)").alias("free"))
-    free = free.groupBy("cid", "band").agg(F.first("free").alias("free"))
-    # copies of a text are one row here, before a class's digests come together
-    near = filed.join(shared, "sig").distinct().select("cid", band, "sig", "times").join(free, ["cid", "band"])
-    rank = F.row_number().over(Window.partitionBy("cid", "band").orderBy(F.desc("times"), F.desc("sig")))
-    near = near.withColumn("rank", rank).where("rank > free").select("cid", "sig").repartition("sig")
-    shared = near.groupBy("sig").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
-    near = materialize(spark, near.join(shared.select("sig", "low"), "sig"), "near")
-    discard(all_)
+    rows = docs.mapInArrow(_rows(gram), f"doc_id {kind}, id long, th long, n long, cid long, bits binary")
+    rows = materialize(spark, rows, "rows")
+    # digests are many times their classes: they are computed where they are dealt out, and not stored
+    near = materialize(spark, _shared(docs, gram, percent), "near")
     home = materialize(spark, near.groupBy("cid").agg(F.min("low").alias("home")), "home")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     slot = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n)).cast("int")

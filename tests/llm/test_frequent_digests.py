@@ -1,10 +1,14 @@
 """Near duplicates: a passage that many documents share sends no class to blocks it has no partner in."""
 
+import collections
 import random
 
+import pyarrow as pa
 import pytest
 
 from contrail.llm import jaccard_join
+from contrail.llm.common import Texts, Words
+from tests.llm.conftest import bag
 
 
 def _sets(text, gram):
@@ -40,3 +44,53 @@ def test_shared_passage(spark, monkeypatch, percent):
     found = jaccard_join.classes(docs, 5, percent).select("doc_id", "component_id").collect()
     assert dict(map(tuple, found)) == dict(enumerate(least))
     assert tables["asked"].count() <= 2 * 60
+
+
+def test_digests_are_shuffled_once(spark, monkeypatch):
+    """One exchange takes all digests; what is left of them equals the rule applied to plain dictionaries."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(12)}" for _ in range(rng.choice([4, 30, 90, 200]))) for _ in range(60)]
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts += [f"{passage} {t}" for t in texts] + texts[:9] + ["", None, "one", "one two"]
+    for t in texts[:40]:
+        words = t.split()
+        words[rng.randrange(len(words))] = "changed"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    tables, plans = {}, {}
+    keep = jaccard_join.materialize
+
+    def materialize(session, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        tables[name] = keep(session, df, name)
+        return tables[name]
+
+    monkeypatch.setattr(jaccard_join, "materialize", materialize)
+    monkeypatch.setattr(jaccard_join, "discard", lambda *_: None)
+    jaccard_join.classes(docs, 5, 80)
+    assert plans["near"].count("Generate explode(sig") == 1
+
+    cids = {r["doc_id"]: r["cid"] for r in tables["rows"].select("doc_id", "cid").collect()}
+    times, spare = collections.Counter(), {}
+    for i, text in enumerate(texts):
+        value, bounds = jaccard_join.sets(Words(Texts(pa.array([text or ""]), 0), lower=True), 5)
+        name, _, free = jaccard_join.digests(value, bounds, 80)
+        for sig, may in zip(name.view("int64").tolist(), free.tolist(), strict=True):
+            times[sig] += 1
+            spare[cids[i], sig] = may
+    holders = collections.defaultdict(set)
+    for cid, sig in spare:
+        holders[sig].add(cid)
+    filed = collections.defaultdict(list)
+    for cid, sig in spare:
+        if len(holders[sig]) > 1:
+            filed[cid, sig & 15].append((times[sig], sig))
+    left = collections.defaultdict(set)
+    for (cid, _), found in filed.items():
+        found.sort(reverse=True)
+        for _, sig in found[spare[cid, found[0][1]] :]:
+            left[sig].add(cid)
+    expected = {(cid, sig, min(v)) for sig, v in left.items() if len(v) > 1 for cid in v}
+    assert expected and any(len(v) > 2 for v in left.values())
+    assert bag(tables["near"].select("cid", "sig", "low").collect()) == collections.Counter(expected)
