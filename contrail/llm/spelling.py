@@ -10,7 +10,8 @@ distance. Every word plays both parts, so each pair is found from either side.
 
 Keys are 64-bit hashes (verification undoes collisions). No word is near to more than some 90 (2 L + 1) others, as
 words consist of 116 letters, so pairs grow with the number of words; what meets in a key is never listed, only what
-passes. A word's occurrences are counted before the shuffle, whatever share of the text it has.
+passes. A word's occurrences are counted before the shuffle, whatever share of the text it has. All joins are merges:
+Spark sizes keys by the words they are exploded from, and words by their packed files, so it would broadcast either far above its limit.
 
 Forms: a word's form is its most frequent near word (ties: the smaller in code-point order), if at least twice as
 frequent. Counts at least double along a chain of forms, so its end is reached by pointer doubling in a few rounds.
@@ -70,7 +71,7 @@ def near(words: DataFrame) -> DataFrame:
         grams += [_key(word, length, k, first, behind + shift) for k, (first, behind) in enumerate(_quarters(length))]
     left = words.select(F.explode(F.array(*chunks)).alias("key"), "word", "n")
     right = words.select(F.explode(F.array_distinct(F.array(*grams))).alias("key"), word.alias("other"), F.col("n").alias("n_other"))
-    met = left.join(right, "key").where(F.levenshtein("word", "other", 1) == 1)
+    met = left.hint("merge").join(right, "key").where(F.levenshtein("word", "other", 1) == 1)
     return met.select("word", "n", "other", "n_other").repartition("word").dropDuplicates(["word", "other"])
 
 
@@ -80,7 +81,7 @@ def roots(forms: DataFrame) -> DataFrame:
     links = materialize(spark, forms.select("word", F.col("form").alias("root")), "links")
     while True:
         on = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        after = links.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        after = links.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         after = materialize(spark, after, "links")
         links = after.select("word", "root")
         if after.where("moved").isEmpty():
@@ -99,5 +100,6 @@ def variants(words: DataFrame, ratio: float = 2) -> DataFrame:
         found.select("word", "n_near", F.when(is_form, F.col("best.other")).alias("form"), F.when(is_form, -F.col("best.less")).alias("form_n")),
         "near",
     )
-    out = words.join(found, "word", "left").join(roots(found.where("form IS NOT NULL")), "word", "left")
+    ends = roots(found.where("form IS NOT NULL"))
+    out = words.join(found.hint("merge"), "word", "left").join(ends.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contrail.llm import prefix_trie, spelling, weak_rules
+from contrail.session import materialize
 from tests.llm.conftest import bag, words
 
 SF = "/root/testdata/sf0.001"
@@ -85,6 +86,22 @@ def test_forms_of_made_words(spark):
     assert {r["word"]: r["root"] for r in got}["aaaaa"] == "aaaaaaaaaa"
 
 
+def test_no_join_of_words_is_broadcast(spark, monkeypatch):
+    """Twelve keys a word are sized as the word they are exploded from, and tables of words as their packed files."""
+    made = []
+
+    def recorded(session, df, purpose):
+        made.append(df)
+        return materialize(session, df, purpose)
+
+    monkeypatch.setattr(spelling, "materialize", recorded)
+    table = spark.createDataFrame([("aaaaa", 3), ("aaaaaa", 6), ("aaaaaaa", 12), ("bbbbb", 3)], "word string, n long")
+    made.append(spelling.variants(table))
+    assert made[-1].count() == 4
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in made]
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+
+
 # rules
 
 
