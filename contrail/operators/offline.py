@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrail.functions import severity as sev
@@ -176,10 +176,14 @@ def airspace_summary(
 # --- relay -----------------------------------------------------------------------
 
 
+#: Sends of one relay and severity that are matched with their alerts in one task.
+SENDS = 65_536
+
+
 def _drain(pdf: pd.DataFrame, key: str, until: int | None) -> pd.DataFrame:
-    """Which severity class each tick sends, from arrival counts per tick.
+    """Which severity class each tick sends, from arrival counts per tick, as runs of ``n`` ticks on end that send one class.
 
-    Works on counts, so its size depends on the time span and not on the
+    A run ends with its class or at the next arrival, so runs, like the counts, depend on the time span and not on the
     number of alerts.
     """
     arrivals: dict[int, dict[int, int]] = {}
@@ -187,23 +191,24 @@ def _drain(pdf: pd.DataFrame, key: str, until: int | None) -> pd.DataFrame:
         arrivals.setdefault(int(tick), {})[int(rank)] = int(n)
     waiting, sent, rows = {}, {}, []
     ticks = sorted(arrivals)
-    end = until if until is not None else ticks[-1] + sum(pdf["n"])
+    end = until if until is not None else ticks[-1] + int(sum(pdf["n"]))
     ticks = [t for t in ticks if t <= end]
     for tick, following in zip(ticks, [*ticks[1:], end + 1], strict=False):
         for rank, n in arrivals[tick].items():
             waiting[rank] = waiting.get(rank, 0) + n
-        for now in range(tick, following):
-            if not waiting:
-                break
+        now = tick
+        while waiting and now < following:
             rank = max(waiting)
-            waiting[rank] -= 1
+            n = min(waiting[rank], following - now)
+            rows.append((now, rank, sent.get(rank, 0) + 1, n))
+            sent[rank] = sent.get(rank, 0) + n
+            now += n
+            waiting[rank] -= n
             if waiting[rank] == 0:
                 del waiting[rank]
-            sent[rank] = sent.get(rank, 0) + 1
-            rows.append((now, rank, sent[rank]))
-    out = pd.DataFrame(rows, columns=["sent_tick", "rank", "seq"]).astype("int64")
+    out = pd.DataFrame(rows, columns=["sent_tick", "rank", "seq", "n"]).astype("int64")
     out[key] = pdf[key].iloc[0]
-    return out[[key, "sent_tick", "rank", "seq"]]
+    return out[[key, "sent_tick", "rank", "seq", "n"]]
 
 
 def relay_selection(
@@ -218,7 +223,9 @@ def relay_selection(
 
     Within a severity the queue is first-in first-out, so the n-th send of a
     severity is its n-th arrival: ticks are decided on counts per (relay,
-    tick, severity) and joined back by that number.
+    tick, severity), as runs, and an alert's send is the run its number falls in: the
+    last one before it in the order of numbers, of which a task holds a stretch.
+    Sends are never listed, so there is no table of them that could be broadcast.
     """
     width = int(interval * 1_000_000)
     rank = sev.severity_ordinal(F.col("severity"))
@@ -231,17 +238,27 @@ def relay_selection(
         first = first.filter(F.unix_micros("time") <= micros)
         until = micros // width
     now = first.filter(F.col("severity") == "critical").select("alert_id", key, F.col("time").alias("sent_at"))
-    queue = first.filter(F.coalesce(F.col("severity") != "critical", F.lit(True))).withColumn("rank", rank)
+    queue = first.filter(F.coalesce(F.col("severity") != "critical", F.lit(True))).withColumn("rank", rank.cast("long"))
     tick = F.ceil(F.unix_micros("time") / width)
     counts = queue.groupBy(key, "rank", tick.alias("tick")).agg(F.count("*").alias("n"))
-    sends = counts.groupBy(key).applyInPandas(
-        lambda pdf: _drain(pdf, key, until), f"{key} {dict(alerts.dtypes)[key]}, sent_tick long, rank long, seq long"
+    runs = counts.groupBy(key).applyInPandas(
+        lambda pdf: _drain(pdf, key, until), f"{key} {dict(alerts.dtypes)[key]}, sent_tick long, rank long, seq long, n long"
     )
     numbered = ordered.row_index(queue, [key, "rank"], "time", ["alert_id"], index="seq")
-    later = numbered.join(sends, [key, "rank", "seq"], "left").select(
-        "alert_id", key, F.timestamp_micros(F.col("sent_tick") * width).alias("sent_at")
+    numbered = numbered.selectExpr(
+        key, "rank", f"seq div {SENDS} AS _c", "cast(seq AS long) AS _i", "true AS _alert", "alert_id",
+        "cast(null AS struct<sent_tick: long, seq: long, n: long>) AS _run",
+    )
+    # once in every stretch it reaches into
+    runs = runs.withColumn("_c", F.explode(F.expr(f"sequence(seq div {SENDS}, (seq + n - 1) div {SENDS})"))).select(
+        key, "rank", "_c", F.greatest("seq", F.col("_c") * SENDS).alias("_i"), F.lit(False).alias("_alert"),
+        F.lit(None).cast(dict(alerts.dtypes)["alert_id"]).alias("alert_id"), F.struct("sent_tick", "seq", "n").alias("_run"),
     )
-    return now.unionByName(later)
+    so_far = Window.partitionBy(key, "rank", "_c").orderBy("_i", "_alert").rowsBetween(Window.unboundedPreceding, 0)
+    later = numbered.unionByName(runs).withColumn("_run", F.last("_run", ignorenulls=True).over(so_far)).where("_alert")
+    place = F.col("_i") - F.col("_run.seq")
+    sent_tick = F.when(place < F.col("_run.n"), F.col("_run.sent_tick") + place)
+    return now.unionByName(later.select("alert_id", key, F.timestamp_micros(sent_tick * width).alias("sent_at")))
 
 
 def unsent(alerts: DataFrame, sent: DataFrame, by: str = "alert_id") -> DataFrame:

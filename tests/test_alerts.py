@@ -4,6 +4,7 @@ import heapq
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,22 @@ def test_relay_equals_priority_queue(spark):
         assert got == queue(rows, 300, until)
 
 
+def test_relay_in_short_stretches(spark, monkeypatch):
+    monkeypatch.setattr(offline, "SENDS", 7)
+    test_relay_equals_priority_queue(spark)
+
+
+def test_relay_sends_are_not_listed(spark):
+    """Runs depend on ticks and severities, not on alerts; no join could broadcast a table of sends."""
+    counts = pd.DataFrame({"sensor_id": "s", "tick": [5, 5, 7, 9], "rank": [1, 3, 2, 3], "n": [10**12, 2, 10**12, 1]})
+    runs = offline._drain(counts, "sensor_id", None)[["sent_tick", "rank", "seq", "n"]].to_numpy().tolist()
+    left = 10**12
+    assert runs == [[5, 3, 1, 2], [7, 2, 1, 2], [9, 3, 3, 1], [10, 2, 3, left - 2], [left + 8, 1, 1, left]]
+    d = spark.createDataFrame([(str(i), "s", "low", T0) for i in range(50)], "alert_id string, sensor_id string, severity string, time timestamp")
+    d = offline.relay_selection(d, 300)
+    assert d.count() == 50 and d._jdf.queryExecution().analyzed().toString().count("Join") == 1
+
+
 # --- mesh text -------------------------------------------------------------------
 
 
