@@ -2,9 +2,11 @@
 
 import os
 
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from contrail.operators.incidents import gather_incident
+from contrail.plans import queries_sources
 from contrail.sources import exports
 
 
@@ -34,3 +36,14 @@ def test_packed_exports(spark, tmp_path):
             found = getattr(read, name)(f"{path}/{part}").select("incident_id", "alert_id", "evidence")
             assert sorted(found.collect()) == sorted(df.select("incident_id", "alert_id", "evidence").collect())
             assert _bytes(f"{path}/{part}") < least / 2
+
+
+def test_lines_are_parsed_once(spark, monkeypatch):
+    """Reading JSON without a schema parses every line once more to find it."""
+    given, read = [], []
+    schema, json = DataFrameReader.schema, DataFrameReader.json
+    monkeypatch.setattr(DataFrameReader, "schema", lambda self, s: (given.append(self), schema(self, s))[1])
+    monkeypatch.setattr(DataFrameReader, "json", lambda self, path, *a, **k: (read.append((path, self in given)), json(self, path, *a, **k))[1])
+    d = queries_sources.exported_incidents(spark, "/root/testdata/sf0.001")
+    assert {r["entity"]: r["missing"] for r in d.collect()} == dict.fromkeys(("alerts", "metadata", "phy_features", "tracks", "voice_transcripts"), 0)
+    assert len(read) == 5 and all(with_schema for _, with_schema in read)
